@@ -19,6 +19,8 @@ _LOWER[0x41:0x5B] += 32
 #: The same class for Java regular expressions over text that is not lower-cased yet.
 HAS_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -43,7 +45,12 @@ def scratch(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back, so that lineage ends there and each row is made once."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    was = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")  # nothing reads this query's shuffle files again
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, was)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -55,7 +62,7 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
-def map_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
+def map_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema) -> DataFrame:
     """fn over each Arrow batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,7 +101,7 @@ def _power_tables(n: int) -> list[np.ndarray]:
     return _powers
 
 
-def chunks(texts: list[bytes | None], limit: int = 1 << 20) -> Iterator[tuple[int, list[bytes]]]:
+def chunks(texts: list[bytes | None], limit: int = 1 << 19) -> Iterator[tuple[int, list[bytes]]]:
     """Texts in groups of about limit bytes and under 60,000 texts, each with the place of its first text."""
     start, size, part = 0, 0, []
     for i, t in enumerate(texts):

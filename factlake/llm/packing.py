@@ -116,6 +116,8 @@ def packed(pieces: DataFrame, capacity: int) -> DataFrame:
     ranked = salted.withColumn("_own", F.row_number().over(order)).join(before.hint("merge"), ["length", "_salt"])
     ranked = ranked.withColumn("_rank", F.col("_own") - 1 + F.col("_before")).select(*pieces.columns, "_rank")
 
+    names = pieces.columns
+
     def place(b: pa.RecordBatch) -> pa.RecordBatch:
         t = shared.value
         length, rank = b.column("length").to_numpy(), b.column("_rank").to_numpy()
@@ -131,8 +133,7 @@ def packed(pieces: DataFrame, capacity: int) -> DataFrame:
                 at[own] = lo + np.searchsorted(t[lo:hi, 1], rank[own], side="right") - 1
         inside = rank - t[at, 1]
         sequence_id, offset = t[at, 3] + inside // t[at, 2], t[at, 4] + inside % t[at, 2] * length
-        names = [*pieces.columns, "sequence_id", "offset"]
-        return pa.RecordBatch.from_arrays([*(b.column(k) for k in pieces.columns), pa.array(sequence_id), pa.array(offset)], names)
+        return pa.RecordBatch.from_arrays([*(b.column(k) for k in names), pa.array(sequence_id), pa.array(offset)], [*names, "sequence_id", "offset"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long"
     return c.map_rows(ranked, place, schema)
