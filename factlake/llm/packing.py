@@ -76,10 +76,10 @@ def pieces_of(docs: DataFrame, vocabulary: str, end_id: int, capacity: int) -> D
     """Per piece: doc_id, piece, start, length, ids_crc32. A document over capacity is cut into full pieces and a rest."""
 
     def cut(b: pa.RecordBatch) -> pa.RecordBatch:
-        memory, end = tokens.encoder(vocabulary), np.array([end_id], "<u4").tobytes()
+        end = np.array([end_id], "<u4").tobytes()
         rows, step = [], 4 * capacity
-        for row, t in enumerate(b.column("text").to_pylist()):
-            ids = tokens.encoded(t, memory) + end
+        for row, ids in enumerate(tokens.encoder(vocabulary).encoded(b.column("text").to_pylist())):
+            ids += end
             for k, at in enumerate(range(0, len(ids), step)):
                 part = ids[at : at + step]
                 rows.append((row, k, at // 4, len(part) // 4, zlib.crc32(part)))

@@ -101,7 +101,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int, ids:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory, end = tokens.encoder(vocabulary), np.array([end_id], "<u4").tobytes()
+        end = np.array([end_id], "<u4").tobytes()
         store, base = fs.FileSystem.from_uri(path)
         store.create_dir(f"{base}/shards", recursive=True)
         part, shard, copy, last = TaskContext.get().partitionId(), 0, 0, object()
@@ -124,8 +124,8 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int, ids:
         names, types, size = ["doc_id", "copy", "shard", "record", "n", "file"], None, 0
         for b in batches:
             types = [b.schema.field("doc_id").type, pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.string()]
-            for key, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                x = tokens.encoded(t, memory) + end
+            for key, x in zip(b.column("doc_id").to_pylist(), tokens.encoder(vocabulary).encoded(b.column("text").to_pylist()), strict=True):
+                x += end
                 copy, last = (copy + 1 if key == last else 0), key
                 for to, y in ((keys, key), (copies, copy), (payload, x), (lengths, len(x) // 4)):
                     to.append(y)

@@ -1,8 +1,9 @@
 """Token ids and token counts of whole texts.
 
-Both cut a text at places where every tokenizer used here cuts as well (before one space between two visible
-characters) and remember what each piece gave. A piece holds no white space but the one before it, so special strings
-inside texts and everything else are handled by the tokenizer itself. The memory is bounded by CACHED pieces.
+Both cut a text at places where every tokenizer used here cuts as well and remember what each piece gave: between a run
+of plain letters and what follows it, before one space, around a line end. Texts that the pattern of such pieces doesn't
+cover wholly are cut only before single spaces, and texts in which a special string may stand are not cut at all, so
+that the tokenizer itself handles both. The memory is bounded by CACHED pieces.
 """
 
 from __future__ import annotations
@@ -10,32 +11,110 @@ from __future__ import annotations
 import heapq
 import json
 import re
-from collections.abc import Callable
+import struct
+from collections.abc import Callable, Iterable
 
 import numpy as np
 
 #: Pieces remembered by one Python worker, and the longest one that is remembered, in characters.
-CACHED, LONGEST = 400_000, 64
+CACHED, LONGEST = 600_000, 48
 
-# A space is certain to begin a piece where the characters beside it are ASCII and visible, or letters or digits.
+# Letters of Latin-1, which are letters for every tokenizer; what follows a piece must be ASCII, as it can't join then.
+_LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
+_PIECES = re.compile(rf" ?[{_LETTER}]++(?![^ -~\n{_LETTER}])| ?[!-&(-@\[-`{{-~]++(?![^ -~\n{_LETTER}]|')|\n(?=[!-~{_LETTER}])")
 _CUT = re.compile(r"(?<=[!-~\w])(?= [!-~\w])")
-_PLAIN = re.compile(r"[!-~\w]+(?:[ \n][!-~\w]+)*")
+
+_RUN = re.compile(rf" ?[{_LETTER}]+")
+
+# The alphabet of byte-level vocabularies: a byte that is visible in Latin-1 stands for itself, the others follow 255.
+_VISIBLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_ALPHABET = {b: chr(b) for b in _VISIBLE} | {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(_VISIBLE)))}
 
 
 def pieces(text: str) -> list[str]:
     """Pieces of a text whose tokens, one after the other, are the tokens of the text."""
-    if _PLAIN.fullmatch(text):
-        return text.replace(" ", "\0 ").split("\0")
-    return _CUT.split(text)
+    if "<|" in text:
+        return [text]
+    out = _PIECES.findall(text)
+    return out if sum(map(len, out)) == len(text) else _CUT.split(text)
+
+
+class Encoder:
+    """Little-endian 32-bit ids of whole texts by a file of the tokenizers library, without added special tokens.
+
+    A piece that is a run of plain letters is one word for byte-level vocabularies, so the library's model gets it
+    directly; any other new piece goes through the whole tokenizer. Whether words may go directly, and whether their
+    case and their space count, is tried out on PROBES first.
+    """
+
+    PROBES = ["the", " the", " Été", "ÀÉÎ", " straße", "Œuvre"[1:], " nderful", "Þing", " x", "y", " ofthehe", "ingtiaño"]
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self._whole = Tokenizer.from_file(path)
+        self._model = self._whole.model
+        self._known: dict[str, bytes] = {}
+        self._word = next((f for f in (self._as_is, self._folded) if self._agrees(f)), None)
+
+    def _encode(self, text: str) -> bytes:
+        return np.array(self._whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _as_is(self, piece: str) -> bytes:
+        return pack([t.id for t in self._model.tokenize("".join(map(_ALPHABET.__getitem__, piece.encode())))])
+
+    def _folded(self, piece: str) -> bytes:
+        return self._as_is(piece.lstrip(" ").lower())
+
+    def _agrees(self, word: Callable[[str], bytes]) -> bool:
+        try:
+            return all(word(p) == self._encode(p) for p in self.PROBES)
+        except Exception:  # a model that doesn't know the alphabet
+            return False
+
+    def encoded(self, texts: Iterable[str | None]) -> list[bytes]:
+        out, group, size = [], [], 0
+        for t in texts:
+            group.append(t)
+            size += len(t or "")
+            if size > 1 << 20:
+                out += self._group(group)
+                group, size = [], 0
+        return out + self._group(group)
+
+    def _group(self, texts: list[str | None]) -> list[bytes]:
+        known, word, encode = self._known, self._word, self._encode
+        if len(known) > CACHED:
+            known.clear()
+        cut = [pieces(t) if t else [] for t in texts]
+        odd = {}
+        for x in set().union(*cut).difference(known):
+            (known if len(x) <= LONGEST else odd)[x] = word(x) if word and _RUN.fullmatch(x) else encode(x)
+        if not odd:
+            return [b"".join(map(known.__getitem__, p)) for p in cut]
+        return [b"".join([odd[x] if x in odd else known[x] for x in p]) for p in cut]
+
+
+def pack(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
 
 
 class Remembered(dict):
     """dict of piece to result that asks for what it lacks."""
 
-    def __init__(self, make: Callable[[str], object]):
+    def __init__(self, make: Callable[[str], int]):
         self.make = make
 
-    def __missing__(self, piece: str):
+    def __missing__(self, piece: str) -> int:
         out = self.make(piece)
         if len(piece) <= LONGEST:
             if len(self) >= CACHED:
@@ -44,27 +123,6 @@ class Remembered(dict):
         return out
 
 
-_encoders: dict[str, Remembered] = {}
-
-
-def encoder(path: str) -> Remembered:
-    """Bytes of the little-endian 32-bit ids of a piece, from the tokenizers library."""
-    if path not in _encoders:
-        from tokenizers import Tokenizer
-
-        encode = Tokenizer.from_file(path).encode
-        _encoders[path] = Remembered(lambda piece: np.array(encode(piece, add_special_tokens=False).ids, "<u4").tobytes())
-    return _encoders[path]
-
-
-def encoded(text: str | None, memory: Remembered) -> bytes:
-    """The ids of a whole text as little-endian 32-bit numbers."""
-    return b"".join(map(memory.__getitem__, pieces(text))) if text else b""
-
-
-# The alphabet of byte-level vocabularies: a byte that is visible in Latin-1 stands for itself, the others follow 255.
-_VISIBLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-_ALPHABET = {b: chr(b) for b in _VISIBLE} | {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(_VISIBLE)))}
 # Fixed pattern of byte-level vocabularies.
 _WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
