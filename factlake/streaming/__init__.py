@@ -1,0 +1 @@
+"""Empty on purpose: program facts come in batches, and no operator of this engine has a streaming form."""
