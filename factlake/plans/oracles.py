@@ -99,8 +99,8 @@ _LINTS = {
     "missing_async": (f"{_CHECKED} a WHERE is_async AND (mask & 1) = 0", "'async but suffix lacks A'"),
     "missing_unsafe": (f"{_CHECKED} a WHERE is_unsafe_fn AND (mask & 128) = 0", "'unsafe code but suffix lacks U'"),
     "non_alphabetical_suffix": (f"{_CHECKED} a WHERE suffix <> array_to_string(list_sort(string_split(suffix, '')), '')", "'suffix not alphabetical'"),
-    "duplicate_suffix": (f"(SELECT *, list_filter(range(2, length(suffix) + 1), i -> contains(substr(suffix, 1, i - 1), substr(suffix, i, 1))) AS at FROM {_CHECKED} b) a WHERE len(at) > 0", "'duplicate ''' || substr(suffix, at[1], 1) || ''''"),
-    "unknown_suffix_letter": (f"(SELECT *, regexp_replace(suffix, '[ABIMPSTU]', '', 'g') AS u FROM {_CHECKED} b) a WHERE u <> ''", "'unknown letters: ' || array_to_string(list_filter(string_split(u, ''), (x, i) -> list_position(string_split(u, ''), x) = i), ', ')"),
+    "duplicate_suffix": (f"(SELECT *, list_filter(range(2, length(suffix) + 1), lambda i: contains(substr(suffix, 1, i - 1), substr(suffix, i, 1))) AS places FROM {_CHECKED} b) a WHERE len(places) > 0", "'duplicate ''' || substr(suffix, places[1], 1) || ''''"),
+    "unknown_suffix_letter": (f"(SELECT *, regexp_replace(suffix, '[ABIMPSTU]', '', 'g') AS u FROM {_CHECKED} b) a WHERE u <> ''", "'unknown letters: ' || array_to_string(list_filter(string_split(u, ''), lambda x, i: list_position(string_split(u, ''), x) = i), ', ')"),
     "spawn_warning": (f"{_CALLS} a WHERE {_PATH} IN {_in(check.SPAWNERS)} AND NOT is_test AND site_kind IN ('call', 'method')", f"'spawn: ' || {_PATH} || CASE WHEN site_kind = 'call' THEN ' — use structured concurrency' ELSE '' END"),
     "reflection_usage": (f"{_CALLS} a WHERE {_PATH} IN {_in(check.REFLECTION)} AND site_kind IN ('call', 'method')", "'reflection — use trait dispatch instead'"),
     "catch_unwind": (f"{_CALLS} a WHERE CASE WHEN site_kind = 'method' THEN method_ident ELSE {_last('callee_def_path')} END = 'catch_unwind'", "'catch_unwind — fix panic source instead'"),
@@ -140,7 +140,7 @@ _REPORTED = f"""SELECT label, fn_count, line_count, CAST(round(line_count / {_TO
     CAST(row_number() OVER (ORDER BY line_count DESC, ord) AS INT) AS position FROM ({_REPORT}) r WHERE always OR fn_count > 0"""
 _TEXT = f"""SELECT CAST(0 AS INT) AS position, 'Capability Report' AS line UNION ALL SELECT 1, repeat('-', 60) UNION ALL SELECT 3, repeat('-', 60)
     UNION ALL SELECT 2, 'Total: ' || (SELECT count(*) FROM {_ENTRIES} e) || ' functions, ' || {_TOTAL} || ' lines'
-    UNION ALL SELECT position + 4, '  ' || rpad(label, greatest(12, length(label)), ' ') || ' ' || lpad(fn_count::VARCHAR, greatest(5, length(fn_count::VARCHAR)), ' ') || ' fns ' || lpad(line_count::VARCHAR, greatest(6, length(line_count::VARCHAR)), ' ') || ' lines '
+    UNION ALL SELECT position + 4, '  ' || rpad(label, greatest(12, length(label))::INT, ' ') || ' ' || lpad(fn_count::VARCHAR, greatest(5, length(fn_count::VARCHAR))::INT, ' ') || ' fns ' || lpad(line_count::VARCHAR, greatest(6, length(line_count::VARCHAR))::INT, ' ') || ' lines '
         || lpad((pct // 10)::VARCHAR || '.' || (pct % 10)::VARCHAR, 6, ' ') || '% |' || repeat('█', bar_len) || repeat('░', 30 - bar_len) || '|' FROM ({_REPORTED}) x"""
 
 
@@ -186,7 +186,7 @@ _MORE = "SELECT 'v::s' || CAST(s_suppkey AS STRING) AS caller, 'x::u' || CAST(s_
 _EXTERNAL = f"""(SELECT o.callee, o.caller, coalesce(i.sig, v.mask) AS mask FROM (SELECT DISTINCT * FROM ({f.plain(f.VOTING)} UNION ALL {_MORE}) e WHERE starts_with(caller, 'v::') AND NOT starts_with(callee, 'v::') AND callee NOT IN (SELECT key FROM ({f.plain(f.SEED)}) s)) o
     LEFT JOIN {_IMPL} i ON i.def_path = o.callee LEFT JOIN ({_votes(_IMPL, 'sig')}) v ON v.group_key = {_CALLEE_GROUP} AND o.callee LIKE '%::run')"""
 _UNKNOWN = f"""SELECT callee, array_to_string(list_sort(list(caller))[1:3], ', ') AS callers, count(*) AS n_callers,
-    '  ' || callee || '=' || chr(10) || array_to_string(list_transform(list_sort(list(caller))[1:3], x -> '    called by: ' || x || chr(10)), '') || CASE WHEN count(*) > 3 THEN '    ... and ' || (count(*) - 3) || ' more' || chr(10) ELSE '' END AS text
+    '  ' || callee || '=' || chr(10) || array_to_string(list_transform(list_sort(list(caller))[1:3], lambda x: '    called by: ' || x || chr(10)), '') || CASE WHEN count(*) > 3 THEN '    ... and ' || (count(*) - 3) || ' more' || chr(10) ELSE '' END AS text
     FROM {_EXTERNAL} x WHERE mask IS NULL GROUP BY callee"""
 _STD = f"""WITH RECURSIVE fn AS (SELECT def_path, (CASE WHEN is_unsafe_fn THEN 128 ELSE 0 END) + (CASE WHEN has_static_ref THEN 32 ELSE 0 END) AS own FROM ({f.plain(q._STD_FN)}) n), seed AS ({f.plain(q._STD_SEED)}), edge AS ({f.plain(q._STD_EDGE)}),
     start AS (SELECT def_path, own FROM fn UNION ALL SELECT key, mask FROM seed WHERE key IN (SELECT callee FROM edge)), bits AS ({" UNION ALL ".join(f"SELECT {b} AS b" for b in BIT.values())}),
@@ -203,8 +203,8 @@ _PAIRS = "(SELECT DISTINCT CAST((l_partkey * 37) % 256 AS INT) AS a, CAST((l_sup
 SQL = {
     "parse_suffix": f"SELECT k, name, {_mask('name')} AS mask, {_suffix('name')} AS raw, {f.letters('(' + _mask('name') + ')')} AS caps FROM {FN} a",
     "strip_name": f"SELECT k, {_base('name')} AS base, {_base('def_path')} AS path_base FROM {FN} a",
-    "unknown_letters": f"SELECT k, CASE WHEN s IS NULL THEN NULL ELSE array_to_string(list_filter(string_split(u, ''), (x, i) -> list_position(string_split(u, ''), x) = i), '') END AS unknown FROM (SELECT k, {_suffix('name')} AS s, regexp_replace({_suffix('name')}, '[ABIMPSTU]', '', 'g') AS u FROM {FN} a) b",
-    "suffix_order": f"SELECT k, o AS sorted, o = s AS in_order, CASE WHEN len(at) > 0 THEN substr(s, at[1], 1) END AS repeated FROM (SELECT k, s, array_to_string(list_sort(string_split(s, '')), '') AS o, list_filter(range(2, length(s) + 1), i -> contains(substr(s, 1, i - 1), substr(s, i, 1))) AS at FROM (SELECT k, {_suffix('name')} AS s FROM {FN} a) b WHERE s <> '') c",
+    "unknown_letters": f"SELECT k, CASE WHEN s IS NULL THEN NULL ELSE array_to_string(list_filter(string_split(u, ''), lambda x, i: list_position(string_split(u, ''), x) = i), '') END AS unknown FROM (SELECT k, {_suffix('name')} AS s, regexp_replace({_suffix('name')}, '[ABIMPSTU]', '', 'g') AS u FROM {FN} a) b",
+    "suffix_order": f"SELECT k, o AS sorted, o = s AS in_order, CASE WHEN len(places) > 0 THEN substr(s, places[1], 1) END AS repeated FROM (SELECT k, s, array_to_string(list_sort(string_split(s, '')), '') AS o, list_filter(range(2, length(s) + 1), lambda i: contains(substr(s, 1, i - 1), substr(s, i, 1))) AS places FROM (SELECT k, {_suffix('name')} AS s FROM {FN} a) b WHERE s <> '') c",
     "valid_test_name": f"SELECT k, regexp_matches(name, '^test_[0-9]{{8}}_[A-Za-z0-9_]+$') AS valid FROM {FN} a WHERE is_test",
     "caps_algebra": f"SELECT a, b, (b & {_P} & ~a) = 0 AS can_call, b & {_P} & ~a AS missing, (a & ~b) = 0 AS subset, {_shown('a')} AS shown, {_described('b')} AS described, CAST(bit_count(a) AS INT) AS n, (a & ~11) = 0 AS good, (a & ~27) = 0 AS ok FROM {_PAIRS} p",
     "caps_layer_merge": _merge("true", _PRIORITY),
