@@ -234,5 +234,6 @@ SQL = {
     "port_traits": "SELECT c_name || CASE WHEN c_custkey % 4 = 0 THEN 'Repository' ELSE 'HttpClient' END AS name FROM customer WHERE c_custkey % 4 < 2",
     "why_callees": _WHY,
     "why_candidates": f"SELECT def_path, def_path || CASE WHEN sig = 0 THEN ' (pure)' ELSE ' = ' || {f.letters('sig')} END AS text FROM (SELECT * FROM {_IMPL} i WHERE contains(def_path, 'p1') ORDER BY def_path LIMIT 10) x",
+    "effective_lines": r"""SELECT doc_id, count(*) FILTER (i % 3 <> 2 AND regexp_matches(translate(x, '"/\\', ''), '\S')) AS lines FROM (SELECT doc_id, l[i + 1] AS x, i FROM (SELECT doc_id, l, unnest(range(0, len(l))) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents) a) b) c GROUP BY doc_id""",
     "all_diagnostics": "SELECT lint, level, count(*) AS n FROM (" + " UNION ALL ".join(_lint(n) for n in _LINTS) + ") d GROUP BY lint, level",
 } | {f"lint_{n}": _lint(n) for n in _LINTS} | {"call_violation": _lint("call_violation")}
