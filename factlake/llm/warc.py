@@ -27,6 +27,7 @@ from factlake.llm import common as c
 
 #: Bytes after which an archive is closed, before compression. Level of compression.
 ARCHIVE_BYTES, LEVEL = 64 << 20, 6
+_STEP = 1 << 14
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 
@@ -67,11 +68,16 @@ def record(page_id, url: str | None, payload: bytes, digest: str, refers_to, dat
 
 def records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """(headers, payload) of each record of an archive of gzip members; a revisit's payload is empty."""
-    while data:
-        z = zlib.decompressobj(31)
-        whole = z.decompress(data) + z.flush()
-        data = z.unused_data
-        head, _, rest = whole.partition(b"\r\n\r\n")
+    view, at = memoryview(data), 0
+    while at < len(view):
+        z, whole = zlib.decompressobj(31), []
+        while not z.eof:
+            if at >= len(view):
+                raise ValueError("the archive ends inside a record")
+            part = view[at : at + _STEP]
+            whole.append(z.decompress(part))
+            at += len(part) - len(z.unused_data)
+        head, _, rest = b"".join(whole).partition(b"\r\n\r\n")
         headers = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
         block = rest[: int(headers["Content-Length"])]
         yield headers, block.partition(b"\r\n\r\n")[2]
