@@ -63,7 +63,7 @@ def parse_strict(text: Column | str) -> Column:
 def letters(mask: Column | str) -> Column:
     """Letters of a mask in order; "" for the empty set."""
     mask = _col(mask)
-    return F.concat(*(F.when(mask.bitwiseAND(b) != 0, x).otherwise("") for x, b in BIT.items()))
+    return F.when(mask.isNotNull(), F.concat(*(F.when(mask.bitwiseAND(b) != 0, x).otherwise("") for x, b in BIT.items())))
 
 
 def _listed(mask: Column, show) -> Column:
