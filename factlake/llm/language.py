@@ -79,7 +79,7 @@ def train(labelled: DataFrame) -> Model:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, np.ndarray] = {}
         rows: dict[str, int] = {}
-        for b in batches:
+        for b in c.slices(batches):
             texts, langs = b.column("text").to_pylist(), b.column("lang").to_pylist()
             for start, part in _groups(texts):
                 names, own = np.unique(np.array(langs[start : start + len(part)], object), return_inverse=True)
@@ -132,14 +132,14 @@ def identify(docs: DataFrame, model: Model, keep: list[str] | None = None) -> Da
 
     def predict(b: pa.RecordBatch) -> pa.RecordBatch:
         names, scores = [], []
-        for _, part in _groups(b.column("_text").to_pylist()):
+        for _, part in _groups(b.column("text").to_pylist()):
             n, s = shared.value.predict(part)
             names += n
             scores.append(s)
         return pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), pa.array(names, pa.string()), pa.array(np.concatenate(scores))], [*keep, "lang_pred", "score"])
 
     types = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keep)
-    return c.map_rows(docs.select(*keep, F.col("text").alias("_text")), predict, f"{types}, lang_pred string, score double")
+    return c.map_rows(docs.select(*keep, *(["text"] if "text" not in keep else [])), predict, f"{types}, lang_pred string, score double")
 
 
 def is_held_out():

@@ -122,7 +122,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int, ids:
             return out
 
         names, types, size = ["doc_id", "copy", "shard", "record", "n", "file"], None, 0
-        for b in batches:
+        for b in c.slices(batches):
             types = [b.schema.field("doc_id").type, pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.string()]
             for key, x in zip(b.column("doc_id").to_pylist(), tokens.encoder(vocabulary).encoded(b.column("text").to_pylist()), strict=True):
                 x += end
@@ -193,7 +193,7 @@ def read_tokens(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = fs.FileSystem.from_uri(path)
         name, f = None, None
-        for b in batches:
+        for b in c.slices(batches):
             starts, ids = [], []
             for file, record in zip(b.column("file").to_pylist(), b.column("record").to_pylist(), strict=True):
                 if file != name:

@@ -123,7 +123,7 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
                 f.write(out.getbuffer())
             return pa.RecordBatch.from_pydict({"file": [name], "n_records": pa.array([n], pa.int64())})
 
-        for b in batches:
+        for b in c.slices(batches):
             for page, url, html, sha, refers_to in zip(*(b.column(k).to_pylist() for k in ("page_id", "url", "html", "_sha", "refers_to")), strict=True):
                 z = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
                 out.write(z.compress(record(page, url, html or b"", base64.b32encode(bytes.fromhex(sha)).decode(), refers_to, date)) + z.flush())
