@@ -6,7 +6,7 @@ Under the folder: `shards/*.ids` hold the ids in ascending doc_id order, `manife
 A shard is: 8 bytes magic, width of an id in bytes and number of records (two 64-bit numbers), one 64-bit number per
 record and one more (ids before it in the shard), the ids. All numbers are little-endian.
 
-A bucket of the index is a minimal perfect hash ("hash and displace"): keys fall into cells of about four, a cell has
+A bucket of the index is a minimal perfect hash ("hash and displace"): keys fall into cells of about two, a cell has
 the seed that sends its keys to free slots, and a cell of one key names its slot. A slot holds a fingerprint of its
 key, the shard and the record, so a look-up takes constant time and tells keys that were never written.
 
@@ -37,7 +37,6 @@ SHARD_IDS, BUCKET_KEYS = 4 << 20, 50_000
 #: A key: doc_id and the number of this row among rows of the same doc_id.
 KEY = ["doc_id", "copy"]
 _SLOT = np.dtype([("print", "<u4"), ("shard", "<u8"), ("record", "<u4")])
-_MASK = (1 << 64) - 1
 
 
 def _hash(key: tuple, seed: int) -> int:
@@ -45,28 +44,40 @@ def _hash(key: tuple, seed: int) -> int:
 
 
 def _place(h: int, seed: int, n: int) -> int:
-    h = (h ^ seed * 0x9E3779B97F4A7C15) & _MASK
-    h = (h ^ h >> 31) * 0xBF58476D1CE4E5B9 & _MASK
-    return (h ^ h >> 29) % n
+    return ((h & 0xFFFFFFFF) + seed * (h >> 32 | 1)) % n
 
 
 def perfect_hash(keys: list[tuple]) -> tuple[int, np.ndarray, list[int], list[int]]:
-    """Seed of the key hash, number of each cell (seed >= 0, or slot as -1 - slot), slot and hash of each key. Keys differ."""
+    """Seed of the key hash, number of each cell (seed >= 0, or slot as -1 - slot), slot and hash of each key. Keys differ.
+
+    Where the keys of a cell can't be parted, all start again with the next seed of the key hash.
+    """
     n, seed = len(keys), 0
-    while len(set(hashes := [_hash(k, seed) for k in keys])) < n:
+    while True:
+        hashes = [_hash(k, seed) for k in keys]
+        if len(set(hashes)) == n and (found := _placed(hashes, n)):
+            return seed, *found, hashes
         seed += 1
-    cells: list[list[int]] = [[] for _ in range(n // 4 + 1)]
+
+
+def _placed(hashes: list[int], n: int) -> tuple[np.ndarray, list[int]] | None:
+    cells: list[list[int]] = [[] for _ in range(n // 2 + 1)]
     for i, h in enumerate(hashes):
         cells[h % len(cells)].append(i)
-    taken, slots, numbers = bytearray(n), [0] * n, np.zeros(len(cells), "<i8")
-    order = sorted((k for k in range(len(cells)) if len(cells[k]) > 1), key=lambda k: -len(cells[k]))
-    for k in order:
-        s = 0
-        while True:
-            at = [_place(hashes[i], s, n) for i in cells[k]]
-            if len(set(at)) == len(at) and not any(taken[x] for x in at):
+    taken, slots, numbers = bytearray(n), [0] * n, np.zeros(len(cells), "<i4")
+    for k in sorted((k for k in range(len(cells)) if len(cells[k]) > 1), key=lambda k: -len(cells[k])):
+        own = [hashes[i] for i in cells[k]]
+        for s in range(64 * n + 64):
+            at = []
+            for h in own:
+                x = _place(h, s, n)
+                if taken[x] or x in at:
+                    break
+                at.append(x)
+            else:
                 break
-            s += 1
+        else:
+            return None
         numbers[k] = s
         for i, x in zip(cells[k], at, strict=True):
             taken[x], slots[i] = 1, x
@@ -75,7 +86,7 @@ def perfect_hash(keys: list[tuple]) -> tuple[int, np.ndarray, list[int], list[in
         if len(cell) == 1:
             slots[cell[0]] = x = next(free)
             numbers[k] = -1 - x
-    return seed, numbers, slots, hashes
+    return numbers, slots
 
 
 def find(key: tuple, seed: int, numbers: np.ndarray, slots: np.ndarray) -> tuple[int, int] | None:
@@ -172,7 +183,7 @@ def look_up(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame:
     def look(own: pa.Table, bucket: pa.Table) -> pa.Table:
         rows = []
         if bucket.num_rows:
-            numbers, slots = np.frombuffer(bucket.column("numbers")[0].as_py(), "<i8"), np.frombuffer(bucket.column("slots")[0].as_py(), _SLOT)
+            numbers, slots = np.frombuffer(bucket.column("numbers")[0].as_py(), "<i4"), np.frombuffer(bucket.column("slots")[0].as_py(), _SLOT)
             seed = bucket.column("seed")[0].as_py()
             for i, key in enumerate(zip(own.column("doc_id").to_pylist(), own.column("copy").to_pylist(), strict=True)):
                 if at := find(key, seed, numbers, slots):
