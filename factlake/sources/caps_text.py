@@ -35,7 +35,7 @@ def read(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
     if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
         return spark.createDataFrame([], f"{ENTRY}, mask int, error string")
     # a dictionary is a small file, so that its line numbers are worth reading it whole
-    files = spark.read.option("wholetext", True).text(path).withColumn("layer", F.element_at(F.split(F.input_file_name(), "/"), -1))
+    files = spark.read.text(path, wholetext=True).withColumn("layer", F.element_at(F.split(F.input_file_name(), "/"), -1))
     lines = files.select("layer", F.posexplode(F.split("value", "\r?\n")).alias("line", "text")).withColumn("line", F.col("line") + 1)
     out = parsed(lines)
     if strict:

@@ -16,7 +16,7 @@ _ENTRY = "name STRING, caps STRING, lines BIGINT, is_test BOOLEAN, allows_dead_c
 def read_callgraph(spark: SparkSession, path: str) -> DataFrame:
     """(file, def_path, calls, flags) of every function in the files at path. A file that is no such object, or a function that
     lacks a required field, stops the query. A key that a file repeats counts once, the last time."""
-    files = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("file"), F.from_json("value", f"MAP<STRING, STRUCT<{_BEHAVIOR}>>").alias("m"))
+    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.from_json("value", f"MAP<STRING, STRUCT<{_BEHAVIOR}>>").alias("m"))
     bad = F.raise_error(F.concat(F.lit("no call graph: "), "file")).cast(f"MAP<STRING, STRUCT<{_BEHAVIOR}>>")
     rows = files.select("file", F.posexplode(F.when(F.col("m").isNull(), bad).otherwise(F.col("m"))).alias("pos", "def_path", "f"))
     rows = rows.groupBy("file", "def_path").agg(F.max_by("f", "pos").alias("f"))

@@ -242,7 +242,7 @@ def facts(extracted: DataFrame, name: str) -> DataFrame:
 
 def read(spark, path: str) -> DataFrame:
     """Facts of all .rs files under path."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.rs").text(path)
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.rs")
     return extract(files.select(F.input_file_name().alias("file"), F.col("value").alias("text")))
 
 
