@@ -20,9 +20,11 @@ _BOILERPLATE = (
     r"|subscribe|newsletter|sign (in|up)|log ?in|javascript|lorem ipsum|click here|read more|share (this|on)"
     r"|licensed under|released under the|powered by)"
 )
-#: Separators of navigation items, and how many make a line navigation.
+#: Separators of navigation items; a line of at least MANY of them, and of one for every four spaces, is navigation.
 _SEPARATORS, _MANY = "|»›>•·", 3
-#: A line of at least this many characters is text whatever it says; the share of characters a document may lose.
+#: Marks that prose hardly has; a line of more than one in ten is none.
+_MARKS = "!#*$%&|<>~^=+@\\{}[]"
+#: A line of at least this many characters needs no sentence end and is no boilerplate; the share of characters a document may lose.
 LONG_LINE, MOST_LOST = 300, 0.5
 
 
@@ -31,9 +33,13 @@ def _count(text: Column, characters: str) -> Column:
 
 
 def line_stays(line: Column) -> Column:
-    """Whether a line with words stays: long, or ends like a sentence and is neither navigation nor boilerplate."""
+    """Whether a line with words stays: it is no navigation, has few marks, and is long or ends like a sentence without
+    being boilerplate."""
     end = F.rtrim(F.substring(F.rtrim(line), -4, 4))
-    return (F.char_length(line) >= LONG_LINE) | (end.rlike(_ENDS) & (_count(line, _SEPARATORS) < _MANY) & ~line.rlike(_BOILERPLATE))
+    separators = _count(line, _SEPARATORS)
+    navigation = (separators >= _MANY) & (separators * 4 >= _count(line, " "))
+    marked = _count(line, _MARKS) * 10 > F.char_length(line)
+    return ~navigation & ~marked & ((F.char_length(line) >= LONG_LINE) | (end.rlike(_ENDS) & ~line.rlike(_BOILERPLATE)))
 
 
 def judged(docs: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ from factlake.llm import common as c
 GRAMS, BUCKETS, LANGUAGES = 3, 1 << 14, 512
 #: Added to each count.
 SMOOTHING = 0.5
-#: A learned language's n-grams are told from noise by at least this share of the greatest posterior.
+#: What a text without letters is.
 UNKNOWN = "und"
 
 _OTHER = re.compile(r"[\W\d_]+")
@@ -60,7 +60,7 @@ class Model:
         self.languages, self.log_prior, self.log_prob = languages, log_prior, log_prob
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        """Language and its posterior by the mean n-gram, which says how sure the choice is whatever the length."""
+        """Most probable language of each text and its posterior; UNKNOWN and 0 without letters."""
         t = [normalized(x) for x in texts]
         if not self.languages:
             return [UNKNOWN] * len(t), np.zeros(len(t))

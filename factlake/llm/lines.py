@@ -96,7 +96,8 @@ def later_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     name = ["reach", "first", "last"]
     place = F.struct("doc_id", "doc", "pos")
     least = runs.groupBy(*name).agg(F.min(place).alias("original"), F.count("*").alias("n")).where("n > 1").drop("n")
-    later = runs.join(least, name).where(place != F.col("original"))
+    # written first, so that the join reads two plain shuffles and Spark may split a run that stands very often
+    later = runs.join(c.scratch(least, "originals").hint("merge"), name).where(place != F.col("original"))
     gone = later.select("doc", F.explode(F.sequence("pos", F.col("pos") + F.col("reach") - 1)).alias("at"))
     return gone.groupBy("doc").agg(F.sort_array(F.collect_set("at")).alias("removed"))
 

@@ -41,7 +41,8 @@ def _op4() -> str:
     boilerplate = q._BOILERPLATE.replace("'", "''")
     ends = q._ENDS.replace("'", "''")
     end = "rtrim(right(rtrim(x, ' '), 4), ' ')"
-    stays = f"length(x) >= {q.LONG_LINE} OR (regexp_matches({end}, '{ends}') AND {symbols('x', q._SEPARATORS)} < {q._MANY} AND NOT regexp_matches(x, '{boilerplate}'))"
+    navigation = f"({symbols('x', q._SEPARATORS)} >= {q._MANY} AND {symbols('x', q._SEPARATORS)} * 4 >= {symbols('x', ' ')})"
+    stays = f"NOT {navigation} AND {symbols('x', q._MARKS)} * 10 <= length(x) AND (length(x) >= {q.LONG_LINE} OR (regexp_matches({end}, '{ends}') AND NOT regexp_matches(x, '{boilerplate}')))"
     return rf"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
     list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM documents),
 win AS (SELECT doc_id, i, w[i:i + 2] AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d) x),
