@@ -20,6 +20,7 @@ _LOWER[0x41:0x5B] += 32
 #: The same class for Java regular expressions over text that is not lower-cased yet.
 HAS_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -31,10 +32,17 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/factlake/{name}-{uuid.uuid4().hex}"
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Let Spark hand at most BATCH rows at once to Python, on either side: texts and pages may be long."""
+    if not 0 < int(spark.conf.get(_BATCH)) <= BATCH:
+        spark.conf.set(_BATCH, str(BATCH))
+
+
 def scratch(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back, so that lineage ends there and each row is made once."""
     spark = df.sparkSession
     path = new_path(spark, name)
+    bound_batches(spark)
     was = spark.conf.get(_CLEANUP)
     spark.conf.set(_CLEANUP, "true")  # nothing reads this query's shuffle files again
     try:
@@ -52,8 +60,8 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
-#: Rows that Python works on at once; a batch from Spark has up to 10,000, and texts may be long.
-SLICE = 512
+#: Rows of a batch from Spark, and rows that Python works on at once.
+BATCH, SLICE = 1024, 512
 
 
 def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -66,6 +74,8 @@ def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def map_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema) -> DataFrame:
     """fn over slices of Arrow batches."""
 
+    bound_batches(df.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return map(fn, slices(batches))
 
