@@ -201,7 +201,7 @@ _WHY = f"""SELECT callee, CAST(mask AS INT) AS mask, CASE WHEN mask IS NULL THEN
 _PAIRS = "(SELECT DISTINCT CAST((l_partkey * 37) % 256 AS INT) AS a, CAST((l_suppkey * 91) % 256 AS INT) AS b FROM lineitem)"
 
 SQL = {
-    "parse_suffix": f"SELECT k, name, {_mask('name')} AS mask, {_suffix('name')} AS raw, {f.letters('(' + _mask('name') + ')')} AS caps FROM {FN} a",
+    "parse_suffix": f"SELECT k, name, {_mask('name')} AS mask, {_suffix('name')} AS raw, CASE WHEN ({_own('name')}) IS NOT NULL THEN {f.letters('(' + _mask('name') + ')')} END AS caps FROM {FN} a",
     "strip_name": f"SELECT k, {_base('name')} AS base, {_base('def_path')} AS path_base FROM {FN} a",
     "unknown_letters": f"SELECT k, CASE WHEN s IS NULL THEN NULL ELSE array_to_string(list_filter(string_split(u, ''), lambda x, i: list_position(string_split(u, ''), x) = i), '') END AS unknown FROM (SELECT k, {_suffix('name')} AS s, regexp_replace({_suffix('name')}, '[ABIMPSTU]', '', 'g') AS u FROM {FN} a) b",
     "suffix_order": f"SELECT k, o AS sorted, o = s AS in_order, CASE WHEN len(places) > 0 THEN substr(s, places[1], 1) END AS repeated FROM (SELECT k, s, array_to_string(list_sort(string_split(s, '')), '') AS o, list_filter(range(2, length(s) + 1), lambda i: contains(substr(s, 1, i - 1), substr(s, i, 1))) AS places FROM (SELECT k, {_suffix('name')} AS s FROM {FN} a) b WHERE s <> '') c",
