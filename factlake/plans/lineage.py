@@ -19,8 +19,26 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder, as a URI with its scheme."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/factlake/{name}-{uuid.uuid4().hex}")
+    whole = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return whole.replace("file:/", "file:///", 1) if whole.startswith("file:/") and not whole.startswith("file://") else whole
+
+
+def delete_at_exit(spark: SparkSession, path: str) -> None:
+    """Let the driver remove a path that now exists when its session's process ends."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+
+
 def settled(df: DataFrame, name: str) -> DataFrame:
-    """df written as a table in the shared folder and read again: its plan ends there, and lost executors cost nothing."""
-    path = f"{shared_dir(df.sparkSession)}/factlake/{name}-{uuid.uuid4().hex}"
+    """df written as a table in the shared folder and read again: its plan ends there, and lost executors cost nothing.
+
+    The table goes when the driver ends.
+    """
+    spark = df.sparkSession
+    path = new_path(spark, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    delete_at_exit(spark, path)
+    return spark.read.schema(df.schema).parquet(path)
