@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -10,15 +9,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factlake.plans.lineage import shared_dir
+from factlake.plans.lineage import delete_at_exit, new_path
 
 # Fixed class of a word byte in lower-cased text: 0-9, a-z and every byte of a non-ASCII character.
 _WORD = np.zeros(256, np.uint8)
 _WORD[0x30:0x3A] = _WORD[0x61:0x7B] = _WORD[0x80:] = 1
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
-#: The same class for Java regular expressions over text that is not lower-cased yet.
-HAS_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -28,10 +25,6 @@ _BASE_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/factlake/{name}-{uuid.uuid4().hex}"
-
-
 def bound_batches(spark: SparkSession) -> None:
     """Let Spark hand at most BATCH rows at once to Python, on either side: texts and pages may be long."""
     if not 0 < int(spark.conf.get(_BATCH)) <= BATCH:
@@ -49,6 +42,7 @@ def scratch(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(_CLEANUP, was)
+    delete_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 

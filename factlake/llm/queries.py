@@ -40,6 +40,7 @@ def op5_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path = c.new_path(spark, "warc")
     warc.write_archives(c.table(spark, sf_dir, "pages"), path)
+    c.delete_at_exit(spark, path)
     read = warc.with_original_sizes(warc.read_archives(spark, path))
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -49,6 +50,7 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs, path = c.table(spark, sf_dir, "documents"), c.new_path(spark, "tokens")
     t.write_tokens(docs, path, public_tokenizers.path("byte_bpe_50k.json"), 2, 50_257)
+    c.delete_at_exit(spark, path)
     return t.checksums(t.read_tokens(spark, path, t.keys_of(docs)))
 
 
