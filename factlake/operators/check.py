@@ -86,12 +86,16 @@ def _has_name(listed: str, *names: str) -> Column:
     return F.coalesce(F.arrays_overlap(F.split(listed, ","), F.array(*map(F.lit, names))), F.lit(False))
 
 
-def _checked(facts: Facts) -> DataFrame:
-    """Prefixed functions that are checked, with their declared mask (port methods have P as well) and written suffix."""
-    fn = facts.fn.where((F.col("kind") == "free") | (F.col("kind") == "trait_provided") | (F.col("kind") == "impl") & (~F.col("is_trait_impl") | F.col("is_port_method")))
+def _judged(facts: Facts) -> DataFrame:
+    """All functions with their declared mask (port methods have P as well), written suffix, and whether they are checked."""
     own = caps.parsed_mask("name")
-    fn = fn.withColumn("mask", F.when(F.col("is_port_method"), caps.insert(own, "P")).otherwise(own))
-    return fn.where("mask IS NOT NULL").withColumn("suffix", caps.raw_suffix("name"))
+    fn = facts.fn.withColumn("mask", F.when(F.col("is_port_method"), caps.insert(own, "P")).otherwise(own)).withColumn("suffix", caps.raw_suffix("name"))
+    kind = F.col("kind").isin("free", "trait_provided") | (F.col("kind") == "impl") & (~F.col("is_trait_impl") | F.col("is_port_method"))
+    return fn.withColumn("checked", kind & F.col("mask").isNotNull())
+
+
+def _checked(facts: Facts) -> DataFrame:
+    return _judged(facts).where("checked")
 
 
 def _bodies(facts: Facts) -> DataFrame:
@@ -159,15 +163,6 @@ def missing_thread_local(facts: Facts) -> DataFrame:
     return _rows(_static_needs(facts).where(caps.contains("need", "T") & ~caps.contains("mask", "T")), F.lit("reads thread_local! but suffix lacks T"))
 
 
-def stub_macro(facts: Facts) -> DataFrame:
-    return _rows(_checked(facts).where("has_body AND is_stub"), F.lit("stub: todo!()/unimplemented!()"))
-
-
-def empty_fn(facts: Facts) -> DataFrame:
-    hit = _checked(facts).where("has_body AND NOT is_stub AND (is_empty OR only_asserts)")
-    return _rows(hit, F.when(F.col("is_empty"), "empty function body").otherwise("function body contains only debug_assert!"))
-
-
 def _params(facts: Facts, fn: DataFrame) -> DataFrame:
     own = fn.select(F.col("def_path").alias("fn"), "file", "name", "ret_ty", "ret_ok", "ret_errs")
     return facts.param.join(own, "fn")
@@ -179,33 +174,6 @@ def missing_debug_assert(facts: Facts) -> DataFrame:
     return _rows(hit.join(seen, ["fn", "pat"], "left_anti"), _text("param '", F.col("pat"), "' missing debug_assert!"))
 
 
-def missing_allow(facts: Facts) -> DataFrame:
-    return _rows(_checked(facts).where("suffix <> '' AND NOT allows_non_snake_case"), F.lit("uppercase suffix without #[allow(non_snake_case)]"))
-
-
-def non_prefixed_fn(facts: Facts) -> DataFrame:
-    hit = facts.fn.where(caps.parsed_mask("name").isNull() & ~F.col("is_test") & ~F.col("name").isin(UNPREFIXED) & F.col("kind").isin("free", "impl") & ~F.col("is_trait_impl") & F.col("name").rlike("^[a-z]"))
-    return _rows(hit, _text("'", F.col("name"), "' missing rvs_ prefix"))
-
-
-def _lacks(flag: str, letter: str, message: str) -> Callable[[Facts], DataFrame]:
-    return lambda facts: _rows(_checked(facts).where(F.col(flag) & ~caps.contains("mask", letter)), F.lit(message))
-
-
-def non_alphabetical_suffix(facts: Facts) -> DataFrame:
-    return _rows(_checked(facts).where(F.col("suffix") != caps.sorted_letters("suffix")), F.lit("suffix not alphabetical"))
-
-
-def duplicate_suffix(facts: Facts) -> DataFrame:
-    hit = _checked(facts).withColumn("again", caps.first_repeated("suffix")).where("again IS NOT NULL")
-    return _rows(hit, _text("duplicate '", F.col("again"), "'"))
-
-
-def unknown_suffix_letter(facts: Facts) -> DataFrame:
-    hit = _checked(facts).withColumn("unknown", caps.unknown_letters("name")).where("unknown <> ''")
-    return _rows(hit, _text("unknown letters: ", F.array_join(F.filter(F.split("unknown", ""), lambda x: x != ""), ", ")))
-
-
 def _calls(facts: Facts, fn: DataFrame) -> DataFrame:
     return facts.call.join(fn.select(F.col("def_path").alias("caller"), "file", "is_test"), "caller")
 
@@ -232,14 +200,6 @@ def error_swallow(facts: Facts) -> DataFrame:
     return _rows(hit, _text(".", F.col("method_ident"), "() swallows errors"))
 
 
-def dead_code(facts: Facts) -> DataFrame:
-    return _rows(_checked(facts).where(_has_name("allows", "dead_code", "unused")), F.lit("rvs_ function marked #[allow(dead_code/unused)]"))
-
-
-def test_name_format(facts: Facts) -> DataFrame:
-    return _rows(facts.fn.where(F.col("is_test") & ~caps.is_test_name("name")), _text("test '", F.col("name"), "' not test_YYYYMMDD_name"))
-
-
 def banned_import(facts: Facts) -> DataFrame:
     part = facts.use_item.select("file", "lo_line", "lo_col", F.explode(F.split("path", "::")).alias("segment"))
     return _rows(part.where(F.col("segment").isin(BANNED)), _text("banned import: ", F.col("segment")))
@@ -275,29 +235,12 @@ def deny_warnings(facts: Facts) -> DataFrame:
     return _rows(facts.crate_attr.where((F.col("name") == "deny") & _has_name("args", "warnings")), F.lit("#![deny(warnings)] — use named lints instead"))
 
 
-def missing_doc(facts: Facts) -> DataFrame:
-    hit = facts.fn.where(F.col("is_pub") & F.col("name").startswith("rvs_") & ~F.col("is_test") & F.col("doc").isNull() & ((F.col("kind") == "free") | (F.col("kind") == "impl") & ~F.col("is_trait_impl")))
-    return _rows(hit, _text("pub fn '", F.col("name"), "' missing /// doc comment"))
-
-
-def missing_safety_doc(facts: Facts) -> DataFrame:
-    has = F.exists(F.split("doc", "\n"), lambda x: F.trim(x).startswith("# Safety"))
-    where = (F.col("kind") == "free") | (F.col("kind") == "impl") & ~F.col("is_trait_impl") & F.col("is_pub")
-    return _rows(facts.fn.where(F.col("is_unsafe_fn") & where & ~F.coalesce(has, F.lit(False))), F.lit("unsafe fn missing /// # Safety"))
-
-
 def catch_all_error(facts: Facts) -> DataFrame:
     enum = facts.type_item.where((F.col("kind") == "enum") & (F.col("name").contains("Error") | _has_name("attrs", "error")))
     hit = facts.variant.where(F.col("variant").isin(CATCH_ALL)).join(enum.select(F.col("name").alias("type_name"), "file").distinct(), ["type_name", "file"], "left_semi")
     return _rows(hit, _text("catch-all variant '", F.col("variant"), "' in ", F.col("type_name")))
 
 
-def validate_returns_unit(facts: Facts) -> DataFrame:
-    first = F.lower(F.substring_index(caps.base_name("name"), "_", 1))
-    hit = _bodies(facts).where(first.isin(VALIDATING) & (F.col("ret_ty") == "Result") & (F.col("ret_ok") == "()"))
-    return _rows(hit, _text(F.col("name"), ": validate returning Result<(),E> — use TryFrom returning Result<T,E>"))
-
-
 def consumed_arg_on_error(facts: Facts) -> DataFrame:
     owned = ~F.col("is_ref") & F.col("ty_last_ident").isNotNull()
     unit = (F.col("ret_ty") == "Result") & (F.col("ret_ok").isNull() | (F.col("ret_ok") == "()"))
@@ -306,16 +249,6 @@ def consumed_arg_on_error(facts: Facts) -> DataFrame:
     return _rows(hit, _text("owned param '", F.col("pat"), "' consumed but not preserved in error type of ", F.col("name")))
 
 
-def todo_comment(facts: Facts) -> DataFrame:
-    def marked(line: Column) -> Column:
-        line = F.trim(F.regexp_replace(line, r"^\s+", ""))
-        low = F.lower(line)
-        return (line.startswith("//") | line.startswith("/*")) & (low.contains("todo") | low.contains("fixme"))
-
-    hit = facts.fn.where((F.col("kind") == "free") & F.coalesce(F.exists(F.split("snippet", "\n"), marked), F.lit(False)))
-    return _rows(hit, F.lit("TODO/FIXME comment found"))
-
-
 def _tests(facts: Facts, strict: bool) -> DataFrame:
     """Functions whose names count as test names: all free functions, and test methods; with strict, tests only."""
     return facts.fn.where(F.col("is_test") if strict else F.col("is_test") | (F.col("kind") == "free"))
@@ -345,27 +278,87 @@ def _untested(level: str, of: int) -> Callable[[Facts], DataFrame]:
     return run
 
 
+@dataclass(frozen=True)
+class FnRule:
+    """A rule that looks at one function: whether it is for checked functions only, when it holds, and what it says."""
+
+    checked: bool
+    holds: Callable[[], Column]
+    says: Callable[[], Column]
+
+    def __call__(self, facts: Facts) -> DataFrame:
+        fn = _checked(facts) if self.checked else _judged(facts)
+        return _rows(fn.where(self.holds()), self.says())
+
+
+def _lacks(flag: str, letter: str, message: str) -> FnRule:
+    return FnRule(True, lambda: F.col(flag) & ~caps.contains("mask", letter), lambda: F.lit(message))
+
+
+def _has_todo() -> Column:
+    def marked(line: Column) -> Column:
+        line = F.regexp_replace(line, r"^\s+", "")
+        low = F.lower(line)
+        return (line.startswith("//") | line.startswith("/*")) & (low.contains("todo") | low.contains("fixme"))
+
+    return (F.col("kind") == "free") & F.coalesce(F.exists(F.split("snippet", "\n"), marked), F.lit(False))
+
+
+def _is_inherent() -> Column:
+    return (F.col("kind") == "impl") & ~F.col("is_trait_impl")
+
+
+def _lacks_safety_doc() -> Column:
+    has = F.exists(F.split("doc", "\n"), lambda x: F.trim(x).startswith("# Safety"))
+    return F.col("is_unsafe_fn") & ((F.col("kind") == "free") | _is_inherent() & F.col("is_pub")) & ~F.coalesce(has, F.lit(False))
+
+
+def _validates() -> Column:
+    first = F.lower(F.substring_index(caps.base_name("name"), "_", 1))
+    return F.expr("has_body AND NOT is_stub") & first.isin(VALIDATING) & (F.col("ret_ty") == "Result") & (F.col("ret_ok") == "()")
+
+
+#: Rules that one scan of fn answers together.
+FN_RULES: dict[str, FnRule] = {
+    "stub_macro": FnRule(True, lambda: F.expr("has_body AND is_stub"), lambda: F.lit("stub: todo!()/unimplemented!()")),
+    "empty_fn": FnRule(True, lambda: F.expr("has_body AND NOT is_stub AND (is_empty OR only_asserts)"), lambda: F.when(F.col("is_empty"), "empty function body").otherwise("function body contains only debug_assert!")),
+    "missing_allow": FnRule(True, lambda: F.expr("suffix <> '' AND NOT allows_non_snake_case"), lambda: F.lit("uppercase suffix without #[allow(non_snake_case)]")),
+    "non_rvs_fn": FnRule(False, lambda: F.col("mask").isNull() & ~F.col("is_test") & ~F.col("name").isin(UNPREFIXED) & ((F.col("kind") == "free") | _is_inherent()) & F.col("name").rlike("^[a-z]"), lambda: _text("'", F.col("name"), "' missing rvs_ prefix")),
+    "missing_mutable": _lacks("has_mut_param", "M", "&mut param but suffix lacks M"),
+    "missing_async": _lacks("is_async", "A", "async but suffix lacks A"),
+    "missing_unsafe": _lacks("is_unsafe_fn", "U", "unsafe code but suffix lacks U"),
+    "non_alphabetical_suffix": FnRule(True, lambda: F.col("suffix") != caps.sorted_letters("suffix"), lambda: F.lit("suffix not alphabetical")),
+    "duplicate_suffix": FnRule(True, lambda: caps.first_repeated("suffix").isNotNull(), lambda: _text("duplicate '", caps.first_repeated("suffix"), "'")),
+    "unknown_suffix_letter": FnRule(True, lambda: caps.unknown_letters("name") != "", lambda: _text("unknown letters: ", F.array_join(F.filter(F.split(caps.unknown_letters("name"), ""), lambda x: x != ""), ", "))),
+    "dead_code": FnRule(True, lambda: _has_name("allows", "dead_code", "unused"), lambda: F.lit("rvs_ function marked #[allow(dead_code/unused)]")),
+    "test_name_format": FnRule(False, lambda: F.col("is_test") & ~caps.is_test_name("name"), lambda: _text("test '", F.col("name"), "' not test_YYYYMMDD_name")),
+    "missing_doc": FnRule(False, lambda: F.col("is_pub") & F.col("name").startswith("rvs_") & ~F.col("is_test") & F.col("doc").isNull() & ((F.col("kind") == "free") | _is_inherent()), lambda: _text("pub fn '", F.col("name"), "' missing /// doc comment")),
+    "missing_safety_doc": FnRule(False, _lacks_safety_doc, lambda: F.lit("unsafe fn missing /// # Safety")),
+    "validate_returns_unit": FnRule(True, _validates, lambda: _text(F.col("name"), ": validate returning Result<(),E> — use TryFrom returning Result<T,E>")),
+    "todo_comment": FnRule(False, _has_todo, lambda: F.lit("TODO/FIXME comment found")),
+}
+
 #: Lint id: level and rule.
 LINTS: dict[str, tuple[str, Callable[[Facts], DataFrame]]] = {
     "call_violation": ("deny", call_violation),
     "static_ref": ("deny", static_ref),
-    "stub_macro": ("deny", stub_macro),
-    "empty_fn": ("deny", empty_fn),
+    "stub_macro": ("deny", FN_RULES["stub_macro"]),
+    "empty_fn": ("deny", FN_RULES["empty_fn"]),
     "missing_debug_assert": ("warn", missing_debug_assert),
-    "missing_allow": ("warn", missing_allow),
-    "non_rvs_fn": ("warn", non_prefixed_fn),
+    "missing_allow": ("warn", FN_RULES["missing_allow"]),
+    "non_rvs_fn": ("warn", FN_RULES["non_rvs_fn"]),
     "unknown_callee": ("warn", unknown_callee),
-    "missing_mutable": ("warn", _lacks("has_mut_param", "M", "&mut param but suffix lacks M")),
-    "missing_async": ("warn", _lacks("is_async", "A", "async but suffix lacks A")),
-    "missing_unsafe": ("warn", _lacks("is_unsafe_fn", "U", "unsafe code but suffix lacks U")),
+    "missing_mutable": ("warn", FN_RULES["missing_mutable"]),
+    "missing_async": ("warn", FN_RULES["missing_async"]),
+    "missing_unsafe": ("warn", FN_RULES["missing_unsafe"]),
     "missing_side_effect": ("warn", missing_side_effect),
     "missing_thread_local": ("warn", missing_thread_local),
-    "non_alphabetical_suffix": ("warn", non_alphabetical_suffix),
-    "duplicate_suffix": ("warn", duplicate_suffix),
-    "unknown_suffix_letter": ("warn", unknown_suffix_letter),
+    "non_alphabetical_suffix": ("warn", FN_RULES["non_alphabetical_suffix"]),
+    "duplicate_suffix": ("warn", FN_RULES["duplicate_suffix"]),
+    "unknown_suffix_letter": ("warn", FN_RULES["unknown_suffix_letter"]),
     "spawn_warning": ("warn", spawn_warning),
-    "dead_code": ("warn", dead_code),
-    "test_name_format": ("warn", test_name_format),
+    "dead_code": ("warn", FN_RULES["dead_code"]),
+    "test_name_format": ("warn", FN_RULES["test_name_format"]),
     "banned_import": ("warn", banned_import),
     "missing_debug_derive": ("warn", missing_debug_derive),
     "error_swallow": ("warn", error_swallow),
@@ -376,12 +369,12 @@ LINTS: dict[str, tuple[str, Callable[[Facts], DataFrame]]] = {
     "deref_polymorphism": ("warn", deref_polymorphism),
     "deny_warnings": ("warn", deny_warnings),
     "wildcard_import": ("warn", wildcard_import),
-    "missing_doc": ("warn", missing_doc),
-    "missing_safety_doc": ("warn", missing_safety_doc),
+    "missing_doc": ("warn", FN_RULES["missing_doc"]),
+    "missing_safety_doc": ("warn", FN_RULES["missing_safety_doc"]),
     "catch_all_error": ("warn", catch_all_error),
-    "validate_returns_unit": ("warn", validate_returns_unit),
+    "validate_returns_unit": ("warn", FN_RULES["validate_returns_unit"]),
     "consumed_arg_on_error": ("warn", consumed_arg_on_error),
-    "todo_comment": ("warn", todo_comment),
+    "todo_comment": ("warn", FN_RULES["todo_comment"]),
     "missing_test_output": ("warn", missing_test_output),
     "duplicate_test": ("warn", duplicate_test),
     "untested_good_fn": ("warn", _untested("good", caps.GOOD)),
@@ -395,9 +388,23 @@ def lint(facts: Facts, name: str) -> DataFrame:
     return rule(facts).select(F.lit(name).alias("lint"), F.lit(level).alias("level"), "file", "lo_line", "lo_col", "message")
 
 
+def fn_diagnostics(facts: Facts, names: list[str]) -> DataFrame:
+    """What the rules of FN_RULES with these names say, from one scan of fn."""
+    found = []
+    for n in names:
+        rule, level = FN_RULES[n], LINTS[n][0]
+        holds = F.col("checked") & rule.holds() if rule.checked else rule.holds()
+        found.append(F.when(holds, F.struct(F.lit(n).alias("lint"), F.lit(level).alias("level"), rule.says().alias("message"))))
+    out = _judged(facts).select("file", "lo_line", "lo_col", F.inline(F.filter(F.array(*found), lambda x: x.isNotNull())))
+    return out.select("lint", "level", "file", "lo_line", "lo_col", "message")
+
+
 def diagnostics(facts: Facts, names: list[str] | None = None) -> DataFrame:
-    """All lints as one table."""
-    return reduce(DataFrame.unionByName, (lint(facts, n) for n in names or LINTS))
+    """All lints as one table. Rules about single functions share a scan; the others are plans of their own."""
+    names = list(names or LINTS)
+    shared = [n for n in names if n in FN_RULES]
+    tables = [lint(facts, n) for n in names if n not in FN_RULES]
+    return reduce(DataFrame.unionByName, ([fn_diagnostics(facts, shared)] if shared else []) + tables)
 
 
 def has_failed(diagnostic: DataFrame) -> bool:
