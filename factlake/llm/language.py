@@ -30,7 +30,7 @@ _OTHER = re.compile(r"[\W\d_]+")
 def normalized(text: str | None) -> str:
     """Letters in lower case, one space between runs and at both ends; "" if there is no letter."""
     t = _OTHER.sub(" ", text.lower()).strip() if text else ""
-    return f" {t} " if t else ""
+    return f" {t} " if any(map(str.isalpha, t)) else ""  # letter-like numbers alone are no letters
 
 
 def gram_buckets(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
