@@ -44,7 +44,8 @@ def _hash(key: tuple, seed: int) -> int:
 
 
 def _place(h: int, seed: int, n: int) -> int:
-    return ((h & 0xFFFFFFFF) + seed * (h >> 32 | 1)) % n
+    h = (h + seed * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF
+    return ((h ^ h >> 29) * 0xBF58476D1CE4E5B9 >> 32 & 0xFFFFFFFF) % n
 
 
 def perfect_hash(keys: list[tuple]) -> tuple[int, np.ndarray, list[int], list[int]]:
