@@ -13,6 +13,8 @@ hit words of a document are united over the passes. One pass is the rule.
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -76,9 +78,9 @@ class Search:
         return out
 
 
-def windows(benchmark: DataFrame) -> list[dict[tuple[bytes, ...], list[str]]]:
-    """Patterns and the ids of their items, in blocks of bounded size."""
-    blocks, block, size = [], {}, 0
+def windows(benchmark: DataFrame) -> Iterator[dict[tuple[bytes, ...], list[str]]]:
+    """Patterns and the ids of their items, in blocks of bounded size, at least one; the driver holds one at a time."""
+    block, size, any_ = {}, 0, False
     for row in benchmark.select("item_id", "text").toLocalIterator():
         if row.item_id is None or not row.text:
             continue
@@ -93,9 +95,10 @@ def windows(benchmark: DataFrame) -> list[dict[tuple[bytes, ...], list[str]]]:
                 own.append(item)
                 size += len(p)
         if size >= BLOCK_WORDS:
-            blocks.append(block)
-            block, size = {}, 0
-    return [*blocks, block] if block or not blocks else blocks
+            yield block
+            block, size, any_ = {}, 0, True
+    if block or not any_:
+        yield block
 
 
 def _search(source: DataFrame, block: dict, keep: list[str]) -> DataFrame:
@@ -138,12 +141,12 @@ def find_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     blocks = windows(benchmark)
-
-    if len(blocks) == 1:
-        out = _search(docs, blocks[0], ["doc_id"])
+    first, second = next(blocks), next(blocks, None)
+    if second is None:
+        out = _search(docs, first, ["doc_id"])
     else:  # rows that are equal in doc_id and text get the same result, as often as they stand there
         source = docs.select("doc_id", "text", c.text_key().alias("_key"))
-        passes = [_search(source.dropDuplicates(["doc_id", "_key"]), block, ["doc_id", "_key"]) for block in blocks]
+        passes = [_search(source.dropDuplicates(["doc_id", "_key"]), block, ["doc_id", "_key"]) for block in chain((first, second), blocks)]
         all_ = passes[0]
         for p in passes[1:]:
             all_ = all_.union(p)
