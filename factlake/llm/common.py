@@ -58,11 +58,11 @@ def partitions(spark: SparkSession) -> int:
 BATCH, SLICE = 1024, 512
 
 
-def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows of batches in parts of SLICE."""
+def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """The rows of batches in parts of so many."""
     for b in batches:
-        for at in range(0, b.num_rows, SLICE):
-            yield b.slice(at, SLICE)
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
 
 
 def map_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema) -> DataFrame:

@@ -3,8 +3,9 @@
 Under the folder: `shards/*.ids` hold the ids in ascending doc_id order, `manifest` (Parquet) one row per shard, and
 `index` (Parquet) one row per bucket of keys.
 
-A shard is: 8 bytes magic, width of an id in bytes and number of records (two 64-bit numbers), one 64-bit number per
-record and one more (ids before it in the shard), the ids. All numbers are little-endian.
+A shard is: 8 bytes magic, the ids, one 64-bit number per record and one more (ids before it in the shard), width of an id
+in bytes and number of records (two 64-bit numbers). All numbers are little-endian. So a shard is written as the ids
+come, and no task holds one in memory.
 
 A bucket of the index is a minimal perfect hash ("hash and displace"): keys fall into cells of about two, a cell has
 the seed that sends its keys to free slots, and a cell of one key names its slot. A slot holds a fingerprint of its
@@ -33,7 +34,7 @@ from factlake.llm import tokens
 
 MAGIC = b"FLTOKEN1"
 #: Ids after which a shard is closed, and keys of a bucket of the index on average.
-SHARD_IDS, BUCKET_KEYS = 4 << 20, 50_000
+SHARD_IDS, BUCKET_KEYS = 32 << 20, 50_000
 #: A key: doc_id and the number of this row among rows of the same doc_id.
 KEY = ["doc_id", "copy"]
 _SLOT = np.dtype([("print", "<u4"), ("shard", "<u8"), ("record", "<u4")])
@@ -117,36 +118,37 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int, ids:
         store, base = fs.FileSystem.from_uri(path)
         store.create_dir(f"{base}/shards", recursive=True)
         part, shard, copy, last = TaskContext.get().partitionId(), 0, 0, object()
-        keys, copies, payload, lengths = [], [], [], []
+        names = ["doc_id", "copy", "shard", "record", "n", "file"]
+        keys, copies, lengths, size, f, name = [], [], [], 0, None, ""
 
-        def close() -> pa.RecordBatch:
-            name = f"{part:08d}-{shard:06d}-{uuid.uuid4().hex}.ids"
+        def close(kind: pa.DataType) -> pa.RecordBatch:
             at = np.concatenate([[0], np.cumsum(lengths)]).astype("<u8")
-            body = np.frombuffer(b"".join(payload), "<u4").astype(f"<u{width}")
-            with store.open_output_stream(f"{base}/shards/{name}") as f:
-                for x in (MAGIC, np.array([width, len(lengths)], "<u8").tobytes(), at.tobytes(), body.tobytes()):
-                    f.write(x)
+            f.write(at.tobytes() + np.array([width, len(lengths)], "<u8").tobytes())
+            f.close()
             n = len(keys)
+            types = [kind, pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.string()]
             columns = [keys, copies, [part << 24 | shard] * n, range(n), lengths, [name] * n]
-            out = pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, types, strict=True)], names)
-            for x in (keys, copies, payload, lengths):
-                x.clear()
-            return out
-
-        names, types, size = ["doc_id", "copy", "shard", "record", "n", "file"], None, 0
-        for b in c.slices(batches):
-            types = [b.schema.field("doc_id").type, pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.string()]
-            for key, x in zip(b.column("doc_id").to_pylist(), tokens.encoder(vocabulary).encoded(b.column("text").to_pylist()), strict=True):
-                x += end
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, types, strict=True)], names)
+
+        for b in c.slices(batches, min(c.SLICE, SHARD_IDS)):
+            kind = b.schema.field("doc_id").type
+            if f is None:
+                name = f"{part:08d}-{shard:06d}-{uuid.uuid4().hex}.ids"
+                f = store.open_output_stream(f"{base}/shards/{name}")
+                f.write(MAGIC)
+            ids = tokens.encoder(vocabulary).encoded(b.column("text").to_pylist())
+            for key, x in zip(b.column("doc_id").to_pylist(), ids, strict=True):
                 copy, last = (copy + 1 if key == last else 0), key
-                for to, y in ((keys, key), (copies, copy), (payload, x), (lengths, len(x) // 4)):
-                    to.append(y)
-                size += len(x) // 4
-                if size >= SHARD_IDS:
-                    yield close()
-                    shard, size = shard + 1, 0
-        if keys:
-            yield close()
+                keys.append(key)
+                copies.append(copy)
+                lengths.append(len(x) // 4 + 1)
+                size += lengths[-1]
+            f.write(np.frombuffer(b"".join(x + end for x in ids), "<u4").astype(f"<u{width}").tobytes())
+            if size >= SHARD_IDS:
+                yield close(kind)
+                keys, copies, lengths, size, f, shard = [], [], [], 0, None, shard + 1
+        if f is not None:
+            yield close(kind)
 
     dealt = docs.select("doc_id", "text").repartitionByRange(c.partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
     entries = c.scratch(dealt.mapInArrow(write, f"doc_id {kind}, copy long, shard long, record int, n long, file string"), "entries")
@@ -212,15 +214,14 @@ def read_tokens(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame:
                     if f is not None:
                         f.close()
                     name, f = file, store.open_input_file(f"{base}/shards/{file}")
-                    head = f.read_at(24, 0)
-                    if head[:8] != MAGIC:
+                    foot = f.read_at(16, f.size() - 16)
+                    width, n = np.frombuffer(foot, "<u8").tolist()
+                    if f.read_at(8, 0) != MAGIC:
                         raise ValueError(f"{file} is no shard")
-                    width, n = np.frombuffer(head[8:], "<u8").tolist()
-                    begin = np.frombuffer(f.read_at(8 * (n + 1), 24), "<u8").astype(np.int64)
-                    body = 24 + 8 * (n + 1)
+                    begin = np.frombuffer(f.read_at(8 * (n + 1), f.size() - 16 - 8 * (n + 1)), "<u8").astype(np.int64)
                 lo, hi = int(begin[record]), int(begin[record + 1])
                 starts.append(lo)
-                ids.append(np.frombuffer(f.read_at((hi - lo) * width, body + lo * width), f"<u{width}").astype("<u4").tobytes())
+                ids.append(np.frombuffer(f.read_at((hi - lo) * width, 8 + lo * width), f"<u{width}").astype("<u4").tobytes())
             start = pa.array(b.column("shard_start").to_numpy() + np.array(starts, np.int64), pa.int64())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("copy"), start, pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "copy", "start", "n_tokens", "ids"])
         if f is not None:

@@ -17,7 +17,7 @@ from collections.abc import Callable, Iterable
 import numpy as np
 
 #: Pieces remembered by one Python worker, and the longest one that is remembered, in characters.
-CACHED, LONGEST = 400_000, 48
+CACHED, LONGEST = 300_000, 48
 
 # Letters of Latin-1, which are letters for every tokenizer; what follows a piece must be ASCII, as it can't join then.
 _LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"

@@ -125,7 +125,7 @@ def test_perfect_hash():
         assert sum(token_files.find((-i - 1, 1), seed, numbers, table) is not None for i in range(500)) == 0
 
 
-@pytest.mark.parametrize("shard_ids", [1 << 22, 9])
+@pytest.mark.parametrize("shard_ids", [1 << 22, 2])
 def test_token_files(spark, tmp_path, monkeypatch, shard_ids):
     texts = [None, *ODD, "last"]
     df = documents(spark, texts).union(spark.createDataFrame([(3, "again", "x"), (3, "again", "x"), (None, "no id", None)], "doc_id long, text string, lang string"))
