@@ -30,8 +30,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without later copies of line runs; those that were nothing else go. n_chars follows the text."""
-    out = deduplicate_lines(docs).where((F.col("n_removed") == 0) | (F.col("text") != ""))
+    """Documents without later copies of line runs, each run whole; those that were nothing else go. n_chars follows the text."""
+    out = deduplicate_lines(docs, whole_runs=True).where((F.col("n_removed") == 0) | (F.col("text") != ""))
     return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 
 

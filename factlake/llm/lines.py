@@ -5,10 +5,15 @@ second half) for 2, 4, 8, ... lines; ranks keep the order of the sequences, so e
 depth, and its ties are the longest-common-prefix intervals of at least that depth. Lines that stand only once cannot
 begin a repeated run and leave after the first round; a suffix leaves as soon as its rank is its own.
 
-A run of lines counts as repeated text when it has at least min_words words. Every maximal repeated run with that many
-words is covered by runs that just reach it, so the interval is asked at that depth: the run that begins at a line
-and just reaches min_words is named by the ranks of its two (overlapping) halves. Where the same run stands earlier, its
-lines are a later copy and go.
+A run of lines counts as repeated text when it has at least min_words words. The interval is asked at that depth: a run
+is named by the ranks of its two (overlapping) halves. Where the same run stands earlier, its lines are a later copy and
+go. Two rules say which runs are asked:
+
+* The shortest from each line on that reach min_words (the rule of op8's SQL). The last lines of a longer repeated run stay
+  where together they have fewer words than that, as what would reach it goes on into other text.
+* With whole_runs, also the shortest up to each line. Both together are every maximal repeated run of min_words words: a
+  line of it with fewer words from there to the run's end is in the shortest run up to that end, which is no longer than
+  the maximal one. Any of these runs has at most min_words lines.
 """
 
 from __future__ import annotations
@@ -27,9 +32,10 @@ from factlake.llm import common as c
 MIN_WORDS = 5
 
 
-def lines_of(docs: DataFrame, min_words: int) -> DataFrame:
+def lines_of(docs: DataFrame, min_words: int, whole_runs: bool = False) -> DataFrame:
     """Per line with a word: doc_id, doc (key of the row), pos (among such lines), line (id), reach: lines from here on that
-    just have min_words words, null where the document ends before."""
+    just have min_words words, null where the document ends before. With whole_runs, reach is an array: these, and the
+    other lengths of runs that begin here and are the shortest with min_words words up to their last line."""
 
     def cut(b: pa.RecordBatch) -> pa.RecordBatch:
         row, pos, ids, reach = [], [], [], []
@@ -38,15 +44,22 @@ def lines_of(docs: DataFrame, min_words: int) -> DataFrame:
             total = np.concatenate([[0], np.cumsum([len(x.split()) for x in own])])
             end = np.searchsorted(total, total[:-1] + min_words)
             ids += [hashlib.blake2b(x.strip().encode(), digest_size=16).digest() for x in own]
-            reach += [int(e) - k if e <= len(own) else None for k, e in enumerate(end)]
+            if whole_runs:
+                runs = [[int(e) - k] if e <= len(own) else [] for k, e in enumerate(end)]
+                for k, first in enumerate(np.searchsorted(total, total[1:] - min_words, side="right") - 1):
+                    if first >= 0 and end[first] <= k:
+                        runs[first].append(k + 1 - int(first))
+                reach += runs
+            else:
+                reach += [int(e) - k if e <= len(own) else None for k, e in enumerate(end)]
             row += [i] * len(own)
             pos += range(len(own))
         take = pa.array(row, pa.int64())
-        columns = [b.column("doc_id").take(take), b.column("doc").take(take), pa.array(pos, pa.int32()), pa.array(ids, pa.binary()), pa.array(reach, pa.int32())]
+        columns = [b.column("doc_id").take(take), b.column("doc").take(take), pa.array(pos, pa.int32()), pa.array(ids, pa.binary()), pa.array(reach, pa.list_(pa.int32()) if whole_runs else pa.int32())]
         return pa.RecordBatch.from_arrays(columns, ["doc_id", "doc", "pos", "line", "reach"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return c.map_rows(docs.select("doc_id", "text", row_key().alias("doc")).where("text IS NOT NULL"), cut, f"doc_id {kind}, doc binary, pos int, line binary, reach int")
+    return c.map_rows(docs.select("doc_id", "text", row_key().alias("doc")).where("text IS NOT NULL"), cut, f"doc_id {kind}, doc binary, pos int, line binary, reach {'array<int>' if whole_runs else 'int'}")
 
 
 def row_key():
@@ -82,13 +95,14 @@ def suffix_levels(lines: DataFrame, depth: int) -> list[DataFrame]:
     return levels
 
 
-def later_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def later_copies(docs: DataFrame, min_words: int = MIN_WORDS, whole_runs: bool = False) -> DataFrame:
     """(doc, removed): for each document that loses lines, their sorted places among its lines with words."""
-    lines = c.scratch(lines_of(docs, min_words).dropDuplicates(["doc", "pos"]), "lines")
+    lines = c.scratch(lines_of(docs, min_words, whole_runs).dropDuplicates(["doc", "pos"]), "lines")
     runs = None
     for k, level in enumerate(suffix_levels(lines, min_words)):
         width = 1 << k
-        own = level.where((F.col("reach") >= width) & (F.col("reach") < 2 * width))
+        asked = level.withColumn("reach", F.explode("reach")) if whole_runs else level
+        own = asked.where((F.col("reach") >= width) & (F.col("reach") < 2 * width))
         end = level.select("doc", F.col("pos").alias("_at"), F.col("rank").alias("last"))
         named = own.withColumn("_at", F.col("pos") + F.col("reach") - width).join(end, ["doc", "_at"]).select("doc_id", "doc", "pos", "reach", F.col("rank").alias("first"), "last")
         runs = named if runs is None else runs.union(named)
@@ -102,15 +116,16 @@ def later_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return gone.groupBy("doc").agg(F.sort_array(F.collect_set("at")).alias("removed"))
 
 
-def deduplicate_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def deduplicate_lines(docs: DataFrame, min_words: int = MIN_WORDS, whole_runs: bool = False) -> DataFrame:
     """docs (doc_id, text, ...) with the later copies of repeated line runs taken out of text, and n_lines, n_removed.
 
+    With whole_runs every maximal repeated run of min_words words goes whole, without it the runs that just reach min_words.
     "Later" goes by doc_id (null first) and place. Lines are equal when they are after trimming; lines without words are
     kept and don't part a run. A text that loses all its lines is "". Null texts stay null. Rows equal in doc_id and text
     are one document and all keep what it keeps.
     """
     names = [k for k in docs.columns if k not in ("n_lines", "n_removed")]
-    removed = later_copies(docs, min_words).select(F.col("doc").alias("_gone"), "removed")
+    removed = later_copies(docs, min_words, whole_runs).select(F.col("doc").alias("_gone"), "removed")
     rows = docs.select(F.struct(*(F.col(f"`{k}`") for k in names)).alias("_row"), F.col("text").alias("_text"), row_key().alias("_doc"))
     rows = rows.join(removed, F.col("_doc") == F.col("_gone"), "left").select("_row", "_text", "removed")
 

@@ -211,6 +211,36 @@ def test_line_dedup(spark, least):
         assert (r.text is None) == (texts[r.doc_id] is None) and [x for x in (r.text or "").split("\n") if x.strip()] == left
 
 
+def plain_maximal_runs(docs, least):
+    """Removed lines: from each place the longest run that also begins earlier, if it has `least` words."""
+    places = [([x.strip() for x in (text or "").split("\n") if x.strip()], i) for i, text in docs]
+    gone = defaultdict(set)
+    for j, (b, i) in enumerate(places):
+        for q in range(len(b)):
+            for k, (a, _) in enumerate(places[: j + 1]):
+                for p in range(q if k == j else len(a)):
+                    n = 0
+                    while p + n < len(a) and q + n < len(b) and a[p + n] == b[q + n]:
+                        n += 1
+                    if sum(len(x.split()) for x in b[q : q + n]) >= least:
+                        gone[i].update(range(q, q + n))
+    return gone
+
+
+@pytest.mark.parametrize("least", [1, 5, 9])
+def test_line_dedup_takes_whole_runs(spark, least):
+    rng = random.Random(14)
+    pool = [sentence(rng, n) for n in (1, 1, 1, 2, 2, 3, 6, 12)]
+    texts = [*ODD, *("\n".join(rng.choice([*pool, "", " ", sentence(rng, 3)]) for _ in range(rng.randint(0, 14))) for _ in range(60))]
+    texts += [*texts[-3:], f"{pool[7]}\n{pool[3]}\nother", f"{pool[7]}\n{pool[3]}"]
+    gone = plain_maximal_runs(enumerate(texts), least)
+    assert least != 5 or gone != plain_lines(enumerate(texts), least)
+    for r in lines.deduplicate_lines(documents(spark, texts), least, whole_runs=True).collect():
+        own = [x for x in (texts[r.doc_id] or "").split("\n") if x.strip()]
+        left = [x for k, x in enumerate(own) if k not in gone[r.doc_id]]
+        assert [x for x in (r.text or "").split("\n") if x.strip()] == left and r.n_removed == len(gone[r.doc_id])
+
+
 def test_suffix_levels_are_suffix_arrays(spark):
     rng = random.Random(12)
     seqs = {f"d{i}": [rng.choice("abc") for _ in range(rng.randint(1, 9))] for i in range(8)}
