@@ -113,6 +113,26 @@ def test_sketch_estimates():
     assert abs((s[0] == s[1]).mean() - near_dedup.weighted_jaccard(part[0], part[1], w, 5)) < 0.06 and (s[0] == s[2]).mean() < 0.01
 
 
+def repeating(rng, shared, tf, own):
+    """Two texts with about so many common shingles, each tf times, and own ones."""
+    passage = sentence(rng, shared)
+    return [" ".join([passage] * tf + [sentence(rng, own)]) for _ in range(2)]
+
+
+def test_sketches_of_repeated_passages(spark):
+    rng = random.Random(13)
+    pairs = [repeating(rng, shared, tf, own) for shared, tf, own in [(30, 20, 60)] * 5 + [(30, 10, 30)] * 5 + [(100, 3, 30)] * 5 + [(30, 20, 200)] * 5]
+    w = near_dedup.Weights(np.empty(0, np.uint64), np.empty(0), 1.0)
+    for a, b in pairs:
+        part = [a.encode(), b.encode()]
+        s, _ = near_dedup.sketches(part, w, 5, near_dedup.FINE)
+        assert abs((s[0] == s[1]).mean() - near_dedup.weighted_jaccard(*part, w, 5)) < near_dedup.MARGIN
+    texts = [t for p in pairs for t in p]
+    want = plain_classes(texts)
+    assert [want[i] == want[i + 1] for i in range(0, 40, 2)] == [True] * 15 + [False] * 5
+    assert {r.doc_id: r.class_id for r in near_dedup.near_duplicates(documents(spark, texts)).collect()} == dict(enumerate(want))
+
+
 def plain_contamination(text, items):
     def words(x):
         return WORD.findall((x or "").encode().lower())
