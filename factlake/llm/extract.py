@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
+from hashlib import blake2b
 from html import unescape
 
 import pyarrow as pa
@@ -18,7 +19,8 @@ from pyspark.sql import functions as F
 
 from factlake.llm import common as c
 
-#: Hosts whose paths are broadcast (a path has at most PATH characters); beyond, hosts are joined, salted.
+#: Hosts whose paths are broadcast (a longer path than PATH characters ends in a hash of the whole one, so that it has as
+#: many and is no other path's); beyond, hosts are joined, salted.
 BROADCAST_HOSTS, PATH, SALTS = 50_000, 400, 16
 #: Least share of its own best score that a page must have under its host's path.
 ENOUGH = 0.25
@@ -118,7 +120,7 @@ class Page:
             return _Node(tag, top.path, top.box, skip)
         path = f"{top.path}/{tag}{classes}"
         if len(path) > PATH:
-            path = path[:PATH]
+            path = f"{path[: PATH - 33]}~{blake2b(path.encode('utf-8', 'surrogatepass'), digest_size=16).hexdigest()}"
         if tag in _CONTAINERS and not skip:
             self.boxes.append((path, top.box, tag))
             return _Node(tag, path, len(self.boxes) - 1, skip)

@@ -89,6 +89,16 @@ def test_hosts_vote(spark):
     assert extract.extract(pages(spark, rows)).where("page_id = 5").first().text == "The story of this page is a bit shorter."
 
 
+def test_long_paths_are_kept_apart(spark):
+    """Boxes whose paths differ after many characters only don't share votes or texts."""
+    wide = " ".join(f"utility-z{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(60))
+    assert len(wide) > extract.PATH
+    body = f'<div class="{wide}"><div class="story"><p>{"Story text. " * 20}</p></div><div class="column"><p>{"Column text. " * 9}</p></div></div>'
+    got = extract.extract(pages(spark, [(i, "http://w.com/", page(body)) for i in range(2)])).collect()
+    assert [r.text for r in got] == [("Story text. " * 20).strip()] * 2
+    assert all(len(path) <= extract.PATH for path, _, _ in extract.Page(page(body)).boxes)
+
+
 def test_salted_join_is_the_same(spark, monkeypatch):
     rows = [(i, f"http://h{i % 3}.com/", page(f"<article><p>Text {i}</p></article>")) for i in range(12)]
     one = sorted(extract.extract(pages(spark, rows)).collect())
