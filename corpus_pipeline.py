@@ -40,7 +40,7 @@ def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return decontaminated(docs, c.table(spark, sf_dir, "benchmark"))
+    return decontaminated(docs, c.table(spark, sf_dir, "benchmark"), unnamed=True)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -78,20 +78,24 @@ class Search:
         return out
 
 
-def windows(benchmark: DataFrame) -> Iterator[dict[tuple[bytes, ...], list[str]]]:
-    """Patterns and the ids of their items, in blocks of bounded size, at least one; the driver holds one at a time."""
+def windows(benchmark: DataFrame, unnamed: bool = False) -> Iterator[dict[tuple[bytes, ...], list[str]]]:
+    """Patterns and the ids of their items, in blocks of bounded size, at least one; the driver holds one at a time. With
+    unnamed, items without an id give patterns that name no item."""
     block, size, any_ = {}, 0, False
     for row in benchmark.select("item_id", "text").toLocalIterator():
-        if row.item_id is None or not row.text:
+        if row.item_id is None and not unnamed or not row.text:
             continue
         buf, starts, ends, _, _ = c.words_of([row.text.encode()])
         words = [buf[a:b].tobytes() for a, b in zip(starts, ends, strict=True)]
         if not words:
             continue
-        item = str(row.item_id)
+        item = None if row.item_id is None else str(row.item_id)
         for k in range(max(1, len(words) - WINDOW + 1)):
             p = tuple(words[k : k + WINDOW])
-            if item not in (own := block.setdefault(p, [])):
+            if item is None:
+                size += 0 if p in block else len(p)
+                block.setdefault(p, [])
+            elif item not in (own := block.setdefault(p, [])):
                 own.append(item)
                 size += len(p)
         if size >= BLOCK_WORDS:
@@ -132,15 +136,16 @@ def _search(source: DataFrame, block: dict, keep: list[str]) -> DataFrame:
     return c.map_rows(source.select(*keep, F.col("text").alias("_text")), search, schema)
 
 
-def find_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def find_contaminated(docs: DataFrame, benchmark: DataFrame, unnamed: bool = False) -> DataFrame:
     """Per row of docs (doc_id, text, ...): doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items, spans.
 
     spans: [first, end) of the runs of hit words; items: the item ids that occur, sorted as strings. Null and empty texts
-    have no words and are clean; items without words or without an id are passed over; items of equal text all count;
-    equal rows of docs give equal rows; without a benchmark every document is clean.
+    have no words and are clean; items without words are passed over; items without an id are too, or with unnamed
+    count as hits but not in n_items and items; items of equal text all count; equal rows of docs give equal rows; without
+    a benchmark every document is clean.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    blocks = windows(benchmark)
+    blocks = windows(benchmark, unnamed)
     first, second = next(blocks), next(blocks, None)
     if second is None:
         out = _search(docs, first, ["doc_id"])
@@ -172,10 +177,10 @@ def united(spans: list[tuple[int, int]]) -> list[list[int]]:
     return out
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def decontaminated(docs: DataFrame, benchmark: DataFrame, unnamed: bool = False) -> DataFrame:
     """docs without the contaminated documents; same columns. Nothing is shuffled."""
     kept = docs.columns
-    for block in windows(benchmark):
+    for block in windows(benchmark, unnamed):
         hidden = docs.select(F.struct(*(F.col(f"`{k}`") for k in kept)).alias("_row"), "text")
         docs = _search(hidden, block, ["_row"]).where(F.size("spans") == 0).select("_row.*")
     return docs

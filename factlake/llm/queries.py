@@ -25,7 +25,7 @@ def op2_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from factlake.llm.decontaminate import find_contaminated
 
-    found = find_contaminated(c.table(spark, sf_dir, "documents"), c.table(spark, sf_dir, "benchmark"))
+    found = find_contaminated(c.table(spark, sf_dir, "documents"), c.table(spark, sf_dir, "benchmark"), unnamed=True)
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 

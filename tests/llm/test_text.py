@@ -165,6 +165,17 @@ def test_decontamination(spark, monkeypatch, block_words):
     assert {r.doc_id for r in clean.collect()} == {i for i, r in rows.items() if not r[4]}
 
 
+@pytest.mark.parametrize("block_words", [4_000_000, 1])
+def test_decontamination_by_items_without_id(spark, monkeypatch, block_words):
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", block_words)
+    bench = spark.createDataFrame([(None, "zz"), (1, "zebra"), (None, "zebra"), (None, "a b")], "item_id long, text string")
+    docs = documents(spark, ["zebra zz ZEBRA", "a b zz", "clean", "zebra"])
+    rows = {r.doc_id: (r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in decontaminate.find_contaminated(docs, bench, unnamed=True).collect()}
+    none, one = (hashlib.sha256(x).hexdigest() for x in (b"", b"1"))
+    assert rows == {0: (3, 1, one, True), 1: (3, 0, none, True), 2: (0, 0, none, False), 3: (1, 1, one, True)}
+    assert [r.doc_id for r in decontaminate.decontaminated(docs, bench, unnamed=True).collect()] == [2]
+
+
 def test_decontamination_empty(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert [r.contaminated for r in decontaminate.find_contaminated(documents(spark, ["a b"]), none).collect()] == [False]
