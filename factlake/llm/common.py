@@ -76,6 +76,21 @@ def map_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], sche
     return df.mapInArrow(run, schema)
 
 
+#: Most rows that one merge of counts reads.
+FAN_IN = 64
+
+
+def merged(rows: DataFrame, key: str, add: Callable[[pa.Table], pa.Table]) -> DataFrame:
+    """One row per key of rows (key, task, ...), where task numbers the tasks that made them: add makes one row of a table of
+    rows of a key, at most FAN_IN of them, until there is one of each."""
+    rows = scratch(rows, "counts")
+    last = rows.agg(F.max("task")).first()[0] or 0
+    while last:
+        rows = scratch(rows.withColumn("task", F.expr(f"task div {FAN_IN}")).groupBy(key, "task").applyInArrow(add, rows.schema), "counts")
+        last //= FAN_IN
+    return rows
+
+
 def text_key() -> "F.Column":
     """128 bits that stand for a text."""
     return F.unhex(F.md5(F.coalesce(F.col("text"), F.lit(""))))
