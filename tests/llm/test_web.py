@@ -1,6 +1,10 @@
 import base64
 import hashlib
 import random
+import time
+from html.parser import HTMLParser
+
+import pytest
 
 from factlake.llm import extract, warc
 
@@ -84,23 +88,112 @@ def test_hosts_vote(spark):
     """A page whose own best container is another one follows its host."""
     odd = '<div class="box">' + "<p>Some other long text here.</p>" * 3 + '</div><div class="story"><p>The story of this page is a bit shorter.</p></div>'
     rows = [(i, f"http://h.com/{i}", page(f'<div class="story"><p>{"Long story text. " * 20}</p></div>')) for i in range(5)] + [(5, "http://h.com/5", page(odd))]
-    paths = {r.host: r.path for r in extract.host_paths(pages(spark, rows)).collect()}
-    assert paths["h.com"].endswith("div.story")
+    paths = {r.host: bytes(r.path) for r in extract.host_paths(pages(spark, rows)).collect()}
+    assert paths["h.com"] == next(path for path, _, tag in extract.Page(rows[0][2]).boxes if tag == "div" and extract.Page(rows[0][2]).text(path).startswith("Long story"))
     assert extract.extract(pages(spark, rows)).where("page_id = 5").first().text == "The story of this page is a bit shorter."
 
 
 def test_long_paths_are_kept_apart(spark):
     """Boxes whose paths differ after many characters only don't share votes or texts."""
     wide = " ".join(f"utility-z{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(60))
-    assert len(wide) > extract.PATH
     body = f'<div class="{wide}"><div class="story"><p>{"Story text. " * 20}</p></div><div class="column"><p>{"Column text. " * 9}</p></div></div>'
     got = extract.extract(pages(spark, [(i, "http://w.com/", page(body)) for i in range(2)])).collect()
     assert [r.text for r in got] == [("Story text. " * 20).strip()] * 2
-    assert all(len(path) <= extract.PATH for path, _, _ in extract.Page(page(body)).boxes)
+    deep = "".join(f'<div class="level-of-the-page-{k}">' for k in "abcdefghijklmn")
+    body = f'{deep}<div class="story"><p>{"Story text. " * 20}</p></div><div class="junkbox"><p>{"Junk text. " * 9}</p></div>' + "</div>" * 14
+    got = extract.extract(pages(spark, [(i, "http://w.com/", page(body)) for i in range(2)])).collect()
+    assert [r.text for r in got] == [("Story text. " * 20).strip()] * 2
+
+
+ARTICLE = "<article><h1>Head</h1><p>" + "Text of the article. " * 9 + "</p></article>"
+WANT = ("Head " + "Text of the article. " * 9).strip()
+
+
+@pytest.mark.parametrize("wrapper", ["div class='content with-sidebar'", "div class='layout no-sidebar'", "div id=top", "div class=login-enabled", "form id=aspnetForm", "div class='widget'", "div class=comments-open", "div class='search header'"])
+def test_wrappers_with_names_of_side_parts(wrapper):
+    side = '<div class="sidebar"><p>Side text that is here.</p></div><div class="comments"><p>I think so too, and more.</p></div>'
+    own = extract.Page(f"<body><div class='ad'>Buy it.</div><{wrapper}>{ARTICLE}{side}</{wrapper.split()[0]}><footer>End of it.</footer></body>")
+    assert own.main_text(None) == WANT
+
+
+def test_text_that_only_asides_have():
+    assert extract.Page('<div class="widget"><div class="promo"><p>All there is.</p></div></div><div class="ad">Ad</div>').main_text(None) == "All there is."
+    assert extract.Page('<nav>Menu</nav><div class="comments">Nothing to read</div>').main_text(None) == ""
+
+
+def test_attributes():
+    text = '<p data-x="display:none ok">One</p><p style="display: none">two</p><p hidden>three</p><p title="a > b \'c\'">four</p><p title=\'x"y\'>five</p><a href=x>six</a><p class="don\'t">seven</p>'
+    assert extract.Page(text).main_text(None) == "One four five six seven"
+    assert extract.Page("a < b <3 c<d></d> <p>x</p").main_text(None) == "a < b <3 c x"
+
+
+@pytest.mark.parametrize("part", ["<script ", '<a "', "<i>", "</b>", "<i></b>", "<div>", "<p>", "<td>", "<!--", "<![CDATA[", "<svg>", '<p class="x', "<x y=' >", "<div class=ad>", "<li>", "<tr><td>", "<b><p></b>", "<title>", "< ", "&amp", "</", "<a href='", "\n\t"])
+def test_long_malformed_pages(part):
+    """Time is linear: eight times the length takes well under the 64 times that a quadratic reader would."""
+
+    def seconds(n):
+        html = ARTICLE + part * (n // len(part))
+        t = time.thread_time()
+        assert extract.Page(html).main_text(None).startswith("Head Text")
+        return time.thread_time() - t
+
+    assert seconds(800_000) < 24 * max(seconds(100_000), 0.05)
+
+
+def plain_text(html):
+    """Main text of well-formed pages by the standard library's parser: the text of their article, less what is left out."""
+
+    class Reader(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.stack, self.out = [], []
+
+        def handle_starttag(self, tag, attrs):
+            if tag == "br":
+                self.out.append(" ")
+            elif tag not in ("img", "meta"):
+                self.stack.append((tag, dict(attrs).get("class") or ""))
+                self.out.append("" if tag in ("a", "b", "i", "span") else "\0")
+
+        def handle_endtag(self, tag):
+            self.stack.pop()
+            self.out.append("" if tag in ("a", "b", "i", "span") else "\0")
+
+        def handle_data(self, data):
+            if any(t == "article" for t, _ in self.stack) and not any(t in ("nav", "script", "style", "aside", "footer") or k in ("ad", "comments", "share") for t, k in self.stack):
+                self.out.append(data)
+
+    r = Reader()
+    r.feed(html)
+    return " ".join(x for x in (" ".join(x.split()) for x in "".join(r.out).split("\0")) if x)
+
+
+def test_against_a_plain_parser():
+    rng = random.Random(3)
+
+    def inline():
+        words = " ".join(rng.choice(["lorem", "x &lt; y", "&eacute;t&#233;", "a\n b", "7 &amp; 8"]) for _ in range(rng.randint(3, 12)))
+        return rng.choice(["{}", "<b>{}</b>", "{}<br>more", "<span class=s>{}</span> on", "<i><b>{}</b></i>"]).format(words)
+
+    def block(depth):
+        kind = rng.choice(["p", "p", "p", "ul", "div", "h2", "skip"])
+        if kind == "ul":
+            return "<ul>" + "".join(f"<li>{inline()}</li>" for _ in range(3)) + "</ul>"
+        if kind == "div" and depth < 3:
+            return f"<div>{''.join(block(depth + 1) for _ in range(2))}</div>"
+        if kind == "skip":
+            return rng.choice(['<div class="ad">{}</div>', "<aside>{}</aside>", "<script>var a = '<p>';</script>", '<div class="share">{}</div>', "<!-- <p>{}</p> -->"]).format(inline())
+        return f"<h2>{inline()}</h2>" if kind == "h2" else f"<p>{inline()}</p>"
+
+    for _ in range(300):
+        body = f'<nav><ul><li><a href="/">Menu</a></li></ul></nav><article><h1>{inline()}</h1><p>{"long text " * 40}</p>{"".join(block(0) for _ in range(8))}</article><div class="comments"><p>{inline()}</p></div><footer>{inline()}</footer>'
+        html = f"<html><head><title>t</title></head><body>{body}</body></html>"
+        assert extract.Page(html).main_text(None) == plain_text(html)
 
 
 def test_salted_join_is_the_same(spark, monkeypatch):
     rows = [(i, f"http://h{i % 3}.com/", page(f"<article><p>Text {i}</p></article>")) for i in range(12)]
     one = sorted(extract.extract(pages(spark, rows)).collect())
     monkeypatch.setattr(extract, "BROADCAST_HOSTS", 0)
+    monkeypatch.setattr(extract, "SALT_ROWS", 3)
     assert sorted(extract.extract(pages(spark, rows)).collect()) == one
