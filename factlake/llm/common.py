@@ -85,10 +85,11 @@ def merged(rows: DataFrame, key: str, add: Callable[[pa.Table], pa.Table]) -> Da
     rows of a key, at most FAN_IN of them, until there is one of each."""
     rows = scratch(rows, "counts")
     last = rows.agg(F.max("task")).first()[0] or 0
-    while last:
+    while True:
         rows = scratch(rows.withColumn("task", F.expr(f"task div {FAN_IN}")).groupBy(key, "task").applyInArrow(add, rows.schema), "counts")
         last //= FAN_IN
-    return rows
+        if not last:
+            return rows
 
 
 def text_key() -> "F.Column":
