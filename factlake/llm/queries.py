@@ -39,9 +39,10 @@ def op5_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     from factlake.llm import warc
 
     path = c.new_path(spark, "warc")
-    warc.write_archives(c.table(spark, sf_dir, "pages"), path)
+    pages = c.table(spark, sf_dir, "pages")
+    warc.write_archives(pages, path)
     c.delete_at_exit(spark, path)
-    read = warc.with_original_sizes(warc.read_archives(spark, path))
+    read = warc.with_originals(warc.read_archives(spark, path, pages.schema["page_id"].dataType.simpleString()))
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

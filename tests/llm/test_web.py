@@ -22,13 +22,15 @@ def test_records_round_trip():
     data = b""
     for k, p in enumerate(payloads):
         z = zlib.compressobj(6, zlib.DEFLATED, 31)
-        data += z.compress(warc.record(k, "http://x/%0A\n: y", p, warc.digest_of(p), None, "2026-01-01T00:00:00Z")) + z.flush()
+        data += z.compress(warc.record(k, "http://x/a%20b\n: y", p, warc.digest_of(p), None, "2026-01-01T00:00:00Z")) + z.flush()
     found = list(warc.records(data))
     assert [p for _, p in found] == payloads
-    assert warc._value(found[0][0]["WARC-Target-URI"]) == "http://x/%0A\n: y"
+    assert found[0][0]["WARC-Target-URI"] == "http://x/a%20b%0A: y"
 
 
-def test_archives(spark, tmp_path):
+@pytest.mark.parametrize("list_bytes", [16 << 20, 0])
+def test_archives(spark, tmp_path, monkeypatch, list_bytes):
+    monkeypatch.setattr(warc, "LIST_BYTES", list_bytes)
     rng = random.Random(1)
     rows = [(i, f"http://h/{i}", rng.choice([None, "", "<p>a</p>", "é" * 9, "x" * 100_000])) for i in range(40)] + [(40, None, "only"), (None, "http://n", "only"), (None, None, "nothing else")]
     path = f"file://{tmp_path}/w"
@@ -42,12 +44,48 @@ def test_archives(spark, tmp_path):
         p, top = (h or "").encode(), largest[h or ""]
         again = top != (-1 if i is None else i)
         want.append((i, len(p), base64.b32encode(hashlib.sha1(p).digest()).decode(), "revisit" if again else "response", top if again else None, u))
-    got = [(r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to, r.url) for r in warc.with_original_sizes(read).collect()]
+    got = [(r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to, r.url) for r in warc.with_originals(read).collect()]
     assert sorted(got, key=repr) == sorted(want, key=repr)
     whole = {r.page_id: bytes(r.payload).decode() for r in read.where("record_type = 'response'").collect()}
     assert whole == {i: h or "" for (i, _, h), w in zip(rows, want, strict=True) if w[3] == "response"}
 
 
+def test_revisits_are_standard(spark, tmp_path):
+    """A reader that knows WARC only finds a revisit's response by its headers; ids are unique."""
+    path = f"file://{tmp_path}/w"
+    rows = [("a", "http://h/a%20b", "same"), ("b", "http://h/a%20b", "same"), ("b", "http://h/2", "same"), ("b", "http://h/2", "other"), ("c", None, "other"), ("c", None, "")]
+    warc.write_archives(spark.createDataFrame(rows, "page_id string, url string, html string"), path)
+    found = []
+    for f in (tmp_path / "w" / "archives").iterdir():
+        found += list(warc.records(f.read_bytes()))
+    assert len({h["WARC-Record-ID"] for h, _ in found}) == len(rows) == len(found)
+    by_id = {h["WARC-Record-ID"]: (h, p) for h, p in found}
+    revisits = [h for h, _ in found if h["WARC-Type"] == "revisit"]
+    assert sorted(h["WARC-Page"] for h in revisits) == ["a", "b"]
+    for h in revisits:
+        original, payload = by_id[h["WARC-Refers-To"]]
+        assert original["WARC-Payload-Digest"] == h["WARC-Payload-Digest"] == f"sha1:{warc.digest_of(payload)}"
+        assert original.get("WARC-Target-URI") == h.get("WARC-Refers-To-Target-URI") and original["WARC-Date"] == h["WARC-Refers-To-Date"]
+    assert {h["WARC-Target-URI"] for h, _ in found if "WARC-Target-URI" in h} == {"http://h/a%20b", "http://h/2"}
+    got = warc.with_originals(warc.read_archives(spark, path, "string")).collect()
+    assert sorted((r.page_id, r.payload_bytes, r.refers_to) for r in got if r.record_type == "revisit") == [("a", 4, "b"), ("b", 5, "c")]
+
+
+def test_damaged_archives(spark, tmp_path):
+    import zlib
+
+    import pyarrow as pa
+    from pyarrow import parquet
+
+    (tmp_path / "archives").mkdir()
+    (tmp_path / "manifest").mkdir()
+    z = zlib.compressobj(6, zlib.DEFLATED, 31)
+    (tmp_path / "archives" / "x").write_bytes(z.compress(warc.record(1, "u", b"abc", warc.digest_of(b"abd"), None, "now")) + z.flush())
+    parquet.write_table(pa.table({"file": ["x"], "n_records": [1]}), tmp_path / "manifest" / "p.parquet")
+    with pytest.raises(Exception, match="not what its digest says"):
+        warc.read_archives(spark, f"file://{tmp_path}").count()
+
+
 def test_least_bytes_ties_and_empty(spark, tmp_path):
     path = f"file://{tmp_path}/w"
     warc.write_archives(pages(spark, [(1, "u", "abc"), (2, "u", "abc"), (2, "u", "abc"), (3, "u", "long text"), (4, "u", "long text")]), path, 5)
