@@ -5,8 +5,9 @@ numbers, however many documents there are. Each bin takes the greatest length le
 that a bitset subset-sum finds among the lengths that remain. A combination is used as often as the histogram allows,
 so the combinations found grow with the number of distinct lengths and not with the data.
 
-Pieces get a rank among those of their length (salted, so that a frequent length is not one task), and a rank's place
-follows from the table of combinations, whose size is bounded by the capacity as well.
+Pieces get a rank among those of their length, and a rank's place follows from the table of combinations, whose size is
+bounded by the capacity as well. A length is dealt to as many groups as its pieces need (GROUP), by a number of the row, so
+that a frequent length, or rows that are all equal, are not one task.
 """
 
 from __future__ import annotations
@@ -21,7 +22,8 @@ from pyspark.sql import functions as F
 from factlake.llm import common as c
 from factlake.llm import tokens
 
-SALTS = 64
+#: Least groups of a length, and pieces of a group where all have one length.
+SALTS, GROUP = 64, 200_000
 
 
 def fullest(room: int, lengths: list[int], counts: dict[int, int]) -> list[int]:
@@ -95,8 +97,10 @@ def pieces_of(docs: DataFrame, vocabulary: str, end_id: int, capacity: int) -> D
 
 def packed(pieces: DataFrame, capacity: int) -> DataFrame:
     """pieces (length from 1 to capacity, ...) with sequence_id and offset: their place in sequences of that capacity."""
-    spark = pieces.sparkSession
-    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64(*pieces.columns), F.lit(SALTS)).cast("int"))
+    spark, names = pieces.sparkSession, pieces.columns
+    numbered = c.scratch(pieces.withColumn("_row", F.monotonically_increasing_id()), "pieces")
+    groups = max(SALTS, -(-numbered.count() // GROUP))
+    salted = numbered.withColumn("_salt", F.pmod(F.xxhash64("_row"), F.lit(groups)))
     sizes = salted.groupBy("length", "_salt").agg(F.count("*").alias("_n"))
     sizes = c.scratch(sizes, "lengths")
     histogram = {r["length"]: r["n"] for r in sizes.groupBy("length").agg(F.sum("_n").alias("n")).collect()}  # at most capacity rows
@@ -112,11 +116,9 @@ def packed(pieces: DataFrame, capacity: int) -> DataFrame:
     slots.sort()
     shared = spark.sparkContext.broadcast(np.array(slots, np.int64).reshape(-1, 5))
     before = sizes.withColumn("_before", F.sum("_n").over(Window.partitionBy("length").orderBy("_salt")) - F.col("_n")).drop("_n")
-    order = Window.partitionBy("length", "_salt").orderBy(*pieces.columns)
+    order = Window.partitionBy("length", "_salt").orderBy("_row")
     ranked = salted.withColumn("_own", F.row_number().over(order)).join(before.hint("merge"), ["length", "_salt"])
-    ranked = ranked.withColumn("_rank", F.col("_own") - 1 + F.col("_before")).select(*pieces.columns, "_rank")
-
-    names = pieces.columns
+    ranked = ranked.withColumn("_rank", F.col("_own") - 1 + F.col("_before")).select(*names, "_rank")
 
     def place(b: pa.RecordBatch) -> pa.RecordBatch:
         t = shared.value
@@ -143,6 +145,6 @@ def pack_documents(docs: DataFrame, vocabulary: str, end_id: int = 1, capacity:
     """Every row of docs (doc_id, text, ...) in sequences of at most capacity ids: one row per piece with its place.
 
     Null and empty texts are the end id alone. Equal rows are packed as often as they stand there. Other columns are
-    ignored; an empty table gives no rows.
+    ignored; an empty table gives no rows. Very long texts are encoded whole and cut into pieces.
     """
-    return packed(c.scratch(pieces_of(docs, vocabulary, end_id, capacity), "pieces"), capacity)
+    return packed(pieces_of(docs, vocabulary, end_id, capacity), capacity)

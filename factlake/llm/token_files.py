@@ -11,6 +11,9 @@ A bucket of the index is a minimal perfect hash ("hash and displace"): keys fall
 the seed that sends its keys to free slots, and a cell of one key names its slot. A slot holds a fingerprint of its
 key, the shard and the record, so a look-up takes constant time and tells keys that were never written.
 
+Rows are ordered by doc_id and their place in the input and dealt by ranges of both, so that a doc_id of any number of rows
+is split over tasks; a row's number among those of its doc_id follows from counts by task.
+
 Shards are written under names of their own attempt and only those that the manifest names count, so tasks may be run
 again at any time.
 """
@@ -33,8 +36,9 @@ from factlake.llm import common as c
 from factlake.llm import tokens
 
 MAGIC = b"FLTOKEN1"
-#: Ids after which a shard is closed, and keys of a bucket of the index on average.
-SHARD_IDS, BUCKET_KEYS = 32 << 20, 50_000
+#: Ids and records after which a shard is closed (what is open, a task holds as one number a record), and keys of a bucket
+#: of the index on average.
+SHARD_IDS, SHARD_RECORDS, BUCKET_KEYS = 32 << 20, 1 << 18, 50_000
 #: A key: doc_id and the number of this row among rows of the same doc_id.
 KEY = ["doc_id", "copy"]
 _SLOT = np.dtype([("print", "<u4"), ("shard", "<u8"), ("record", "<u4")])
@@ -107,7 +111,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int, ids:
     """Encode every row of docs (doc_id, text, ...) and write the folder. ids: size of the vocabulary, for the width.
 
     Null and empty texts are the end id alone; a null doc_id comes first; rows with equal doc_id are all kept, one after
-    the other.
+    the other. Very long texts are encoded whole. Other columns are ignored; an empty table gives no shards.
     """
     spark = docs.sparkSession
     width = 2 if ids is not None and ids <= 1 << 16 else 4
@@ -118,7 +122,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int, ids:
         store, base = fs.FileSystem.from_uri(path)
         store.create_dir(f"{base}/shards", recursive=True)
         part, shard, copy, last = TaskContext.get().partitionId(), 0, 0, object()
-        names = ["doc_id", "copy", "shard", "record", "n", "file"]
+        names = ["doc_id", "copy", "part", "shard", "record", "n", "file"]
         keys, copies, lengths, size, f, name = [], [], [], 0, None, ""
 
         def close(kind: pa.DataType) -> pa.RecordBatch:
@@ -126,11 +130,11 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int, ids:
             f.write(at.tobytes() + np.array([width, len(lengths)], "<u8").tobytes())
             f.close()
             n = len(keys)
-            types = [kind, pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.string()]
-            columns = [keys, copies, [part << 24 | shard] * n, range(n), lengths, [name] * n]
+            types = [kind, pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.string()]
+            columns = [keys, copies, [part] * n, [part << 24 | shard] * n, range(n), lengths, [name] * n]
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, types, strict=True)], names)
 
-        for b in c.slices(batches, min(c.SLICE, SHARD_IDS)):
+        for b in c.slices(batches, min(c.SLICE, SHARD_IDS, SHARD_RECORDS)):
             kind = b.schema.field("doc_id").type
             if f is None:
                 name = f"{part:08d}-{shard:06d}-{uuid.uuid4().hex}.ids"
@@ -144,14 +148,25 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int, ids:
                 lengths.append(len(x) // 4 + 1)
                 size += lengths[-1]
             f.write(np.frombuffer(b"".join(x + end for x in ids), "<u4").astype(f"<u{width}").tobytes())
-            if size >= SHARD_IDS:
+            if size >= SHARD_IDS or len(keys) >= SHARD_RECORDS:
                 yield close(kind)
                 keys, copies, lengths, size, f, shard = [], [], [], 0, None, shard + 1
         if f is not None:
             yield close(kind)
 
-    dealt = docs.select("doc_id", "text").repartitionByRange(c.partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
-    entries = c.scratch(dealt.mapInArrow(write, f"doc_id {kind}, copy long, shard long, record int, n long, file string"), "entries")
+    c.bound_batches(spark)
+    placed = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("_place"))
+    dealt = placed.repartitionByRange(c.partitions(spark), "doc_id", "_place").sortWithinPartitions("doc_id", "_place").drop("_place")
+    entries = c.scratch(dealt.mapInArrow(write, f"doc_id {kind}, copy long, part long, shard long, record int, n long, file string"), "entries")
+    # doc_ids that go on in another task: two for each task at most
+    ends = entries.groupBy("part").agg(F.min(F.struct("doc_id")).alias("lo"), F.max(F.struct("doc_id")).alias("hi"))
+    ends = ends.select(F.explode(F.array("lo", "hi")).alias("id"), "part").distinct()
+    again = ends.groupBy("id").agg(F.count("*").alias("_n")).where("_n > 1").select(F.col("id.doc_id").alias("_id"))
+    parts = entries.join(F.broadcast(again), F.col("doc_id").eqNullSafe(F.col("_id"))).groupBy("_id", "part").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("_id").orderBy("part")) - F.col("_n")
+    parts = c.scratch(parts.select("_id", F.col("part").alias("_part"), before.alias("_before")), "repeated")
+    entries = entries.join(F.broadcast(parts), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("part") == F.col("_part")), "left")
+    entries = entries.withColumn("copy", F.col("copy") + F.coalesce("_before", F.lit(0))).drop("_id", "_part", "_before", "part")
     shards = entries.groupBy("shard", "file").agg(F.sum("n").alias("n_ids"), F.count("*").alias("n_records")).withColumn("part", F.expr("shiftright(shard, 24)"))
     shards = c.scratch(shards, "shards")
     total, starts = 0, []
@@ -231,8 +246,10 @@ def read_tokens(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame:
 
 
 def keys_of(docs: DataFrame) -> DataFrame:
-    """The keys under which write_tokens has stored docs."""
-    return docs.groupBy("doc_id").agg(F.count("*").alias("_n")).select("doc_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)).alias("copy"))
+    """The keys under which write_tokens has stored docs. A doc_id's numbers are made in blocks, never as one list."""
+    counts = docs.groupBy("doc_id").agg((F.count("*") - 1).alias("_last"))
+    blocks = counts.select("doc_id", "_last", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("_last div 10000"))).alias("_block"))
+    return blocks.select("doc_id", F.explode(F.sequence(F.col("_block") * 10_000, F.least("_last", F.col("_block") * 10_000 + 9_999))).alias("copy"))
 
 
 def checksums(found: DataFrame) -> DataFrame:

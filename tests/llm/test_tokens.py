@@ -114,6 +114,13 @@ def test_packing(spark):
     assert check_packing(spark, ["x"] * 300, 7)[0] == 100
 
 
+def test_packing_of_equal_rows(spark, monkeypatch):
+    """One length and one row, many times: they are dealt to groups all the same."""
+    monkeypatch.setattr(packing, "GROUP", 1)
+    rows = packing.pack_documents(spark.createDataFrame([(None, "x y")] * 99, "doc_id long, text string"), WORD, 1, 7).collect()
+    assert len({(r.sequence_id, r.offset) for r in rows}) == 99 and {r.length for r in rows} == {3} and len({r.sequence_id for r in rows}) == 50
+
+
 def test_perfect_hash():
     for n in (1, 2, 3, 50, 2000):
         keys = [(i * 7, 0) for i in range(n)]
@@ -143,6 +150,25 @@ def test_token_files(spark, tmp_path, monkeypatch, shard_ids):
     assert [(r.doc_id, r.copy) for r in token_files.look_up(spark, path, absent).collect()] == [(3, 1)]
 
 
+def test_token_files_of_one_key(spark, tmp_path, monkeypatch):
+    """Rows of one doc_id, more than a task has, and rows without one: all are numbered through."""
+    monkeypatch.setattr(token_files, "SHARD_RECORDS", 7)
+    rows = [(5, f"text {i}") for i in range(150)] + [(None, "no id")] * 90 + [(4, "a"), (6, "b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    path = f"file://{tmp_path}/k"
+    token_files.write_tokens(df, path, BYTE, 2, 50_257)
+    found = token_files.read_tokens(spark, path, token_files.keys_of(df)).collect()
+    assert sorted((r.doc_id or 0, r.copy) for r in found) == [*((0, i) for i in range(90)), (4, 0), *((5, i) for i in range(150)), (6, 0)]
+    order = sorted(found, key=lambda r: (r.doc_id or 0, r.copy))
+    at = 0
+    for r in order:
+        assert r.start == at
+        at += r.n_tokens
+    t = Tokenizer.from_file(BYTE)
+    assert sorted(t.decode(np.frombuffer(r.ids, "<u4")[:-1].tolist()) for r in found) == sorted(x for _, x in rows)
+    assert spark.read.parquet(f"{path}/manifest").agg({"n_records": "max"}).first()[0] <= 7
+
+
 def test_token_files_empty(spark, tmp_path):
     df = documents(spark, [])
     token_files.write_tokens(df, f"file://{tmp_path}/e", BYTE, 2)
