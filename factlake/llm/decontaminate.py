@@ -25,8 +25,8 @@ from pyspark.sql import types as T
 from factlake.llm import common as c
 
 WINDOW = 10
-#: Words of patterns in one broadcast (about 8 bytes each, and the tables with them).
-BLOCK_WORDS = 4_000_000
+#: Words of patterns in one broadcast; a pattern of ten takes about 400 bytes with the tables, in the driver and in each task.
+BLOCK_WORDS = 2_000_000
 _TABLE = 1 << 20
 _FOUND = T.StructType().add("n_words", T.LongType()).add("spans", T.ArrayType(T.ArrayType(T.LongType()))).add("items", T.ArrayType(T.StringType()))
 
@@ -98,9 +98,9 @@ def windows(benchmark: DataFrame, unnamed: bool = False) -> Iterator[dict[tuple[
             elif item not in (own := block.setdefault(p, [])):
                 own.append(item)
                 size += len(p)
-        if size >= BLOCK_WORDS:
-            yield block
-            block, size, any_ = {}, 0, True
+            if size >= BLOCK_WORDS:
+                yield block
+                block, size, any_ = {}, 0, True
     if block or not any_:
         yield block
 
@@ -142,7 +142,7 @@ def find_contaminated(docs: DataFrame, benchmark: DataFrame, unnamed: bool = Fal
     spans: [first, end) of the runs of hit words; items: the item ids that occur, sorted as strings. Null and empty texts
     have no words and are clean; items without words are passed over; items without an id are too, or with unnamed
     count as hits but not in n_items and items; items of equal text all count; equal rows of docs give equal rows; without
-    a benchmark every document is clean.
+    a benchmark every document is clean. Very long texts are searched whole; other columns are ignored.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     blocks = windows(benchmark, unnamed)

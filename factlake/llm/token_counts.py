@@ -14,7 +14,8 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int = 512) -> DataFram
     """Per row of docs (doc_id, text, ...): doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit).
 
     Nothing is shuffled and whole texts are counted. Null and empty texts have 0 bytes and 0 tokens; equal rows give
-    equal rows; a null doc_id stays null; other columns are ignored.
+    equal rows; a null doc_id stays null; other columns are ignored; an empty table gives no rows. Very long texts are
+    counted whole, piece by piece.
     """
 
     def count(b: pa.RecordBatch) -> pa.RecordBatch:
