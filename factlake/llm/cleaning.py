@@ -1,8 +1,9 @@
 """Quality rules, line first, in DataFrame functions only.
 
-Each line with a word is judged alone: does it read as prose (ends like a sentence, or is long), is it navigation
-(separators between short items, links, or no sentence at all), is it boilerplate. Lines that fail are removed, and a
-document that loses too much of its text goes.
+Each line with a word is judged alone: does it read as prose (ends like a sentence, or is long and has sentence ends all
+along), is it navigation (separators between short items, links, or no sentence at all), is it boilerplate (its phrases
+stand in it, at least one for as many characters as a short line has). Lines that fail are removed, and a document that
+loses too much of its text goes. The rules hold for lines of any length.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ _SPACE, _WORD, _SPACES = r"[\x20\x09-\x0D]", r"[^\x20\x09-\x0D]", " \t\n\u000b\f
 _SYMBOLS = "#*$%&|<>"
 #: Ends of a sentence, with what may close after them.
 _ENDS = r"""[.!?:;…。！？]["')\]»”’]*$"""
+#: Characters that end a sentence, wherever they stand.
+_STOPS = ".!?:;…。！？"
 _BOILERPLATE = (
     r"(?i)(all rights reserved|copyright|©|\bcookies?\b|privacy policy|terms (of|and) (use|service|conditions)"
     r"|subscribe|newsletter|sign (in|up)|log ?in|javascript|lorem ipsum|click here|read more|share (this|on)"
@@ -24,7 +27,8 @@ _BOILERPLATE = (
 _SEPARATORS, _MANY = "|»›>•·", 3
 #: Marks that prose hardly has; a line of more than one in ten is none.
 _MARKS = "!#*$%&|<>~^=+@\\{}[]"
-#: A line of at least this many characters needs no sentence end and is no boilerplate; the share of characters a document may lose.
+#: Characters for which a longer line needs one sentence end, and with one phrase for which a line is boilerplate; the share
+#: of characters a document may lose.
 LONG_LINE, MOST_LOST = 300, 0.5
 
 
@@ -33,13 +37,15 @@ def _count(text: Column, characters: str) -> Column:
 
 
 def line_stays(line: Column) -> Column:
-    """Whether a line with words stays: it is no navigation, has few marks, and is long or ends like a sentence without
-    being boilerplate."""
+    """Whether a line with words stays: it is no navigation, has few marks, reads as sentences, and is no boilerplate."""
     end = F.rtrim(F.substring(F.rtrim(line), -4, 4))
+    length = F.char_length(line)
+    sentences = end.rlike(_ENDS) | (length >= LONG_LINE) & (_count(line, _STOPS) * LONG_LINE >= length)
+    boilerplate = line.rlike(_BOILERPLATE) & ((length < LONG_LINE) | (F.regexp_count(line, F.lit(_BOILERPLATE)) * LONG_LINE >= length))
     separators = _count(line, _SEPARATORS)
     navigation = (separators >= _MANY) & (separators * 4 >= _count(line, " "))
-    marked = _count(line, _MARKS) * 10 > F.char_length(line)
-    return ~navigation & ~marked & ((F.char_length(line) >= LONG_LINE) | (end.rlike(_ENDS) & ~line.rlike(_BOILERPLATE)))
+    marked = _count(line, _MARKS) * 10 > length
+    return ~navigation & ~marked & sentences & ~boilerplate
 
 
 def judged(docs: DataFrame) -> DataFrame:
@@ -49,7 +55,8 @@ def judged(docs: DataFrame) -> DataFrame:
     has at least twice. Windows are hashed (64 bits) and sorted with their places, those that equal a neighbour are
     repeated, and each covers three words less what the next one covers as well. Texts whose windows all differ, as
     most do, skip the sort. Null texts count as having no words and fail; equal rows give equal rows; other columns
-    are ignored. Each row is judged by itself: nothing is shuffled.
+    are ignored; an empty table gives no rows. Very long texts are judged whole. Each row is judged by itself: nothing is
+    shuffled.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     out = docs.select("doc_id", "text", F.filter(F.split(text, f"{_SPACE}+"), lambda w: w != "").alias("_words"), F.filter(F.split(text, "\n"), lambda x: x.rlike(_WORD)).alias("_lines"))
