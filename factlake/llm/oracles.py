@@ -42,7 +42,7 @@ def _op4() -> str:
     ends = q._ENDS.replace("'", "''")
     end = "rtrim(right(rtrim(x, ' '), 4), ' ')"
     navigation = f"({symbols('x', q._SEPARATORS)} >= {q._MANY} AND {symbols('x', q._SEPARATORS)} * 4 >= {symbols('x', ' ')})"
-    stays = f"NOT {navigation} AND {symbols('x', q._MARKS)} * 10 <= length(x) AND (length(x) >= {q.LONG_LINE} OR (regexp_matches({end}, '{ends}') AND NOT regexp_matches(x, '{boilerplate}')))"
+    stays = f"NOT {navigation} AND {symbols('x', q._MARKS)} * 10 <= length(x) AND (regexp_matches({end}, '{ends}') OR (length(x) >= {q.LONG_LINE} AND {symbols('x', q._STOPS)} * {q.LONG_LINE} >= length(x))) AND len(regexp_extract_all(x, '{boilerplate}')) * {q.LONG_LINE} < greatest(length(x), {q.LONG_LINE})"
     return rf"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
     list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM documents),
 win AS (SELECT doc_id, i, w[i:i + 2] AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d) x),
@@ -60,11 +60,13 @@ _BASE32 = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || su
 OP5 = f"""WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages), m AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS top FROM p)
 SELECT page_id, payload_bytes, {_BASE32} AS payload_digest, CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> top THEN top END AS refers_to FROM m"""
 
+#: A repeated run of five words is the union of the repeated runs in it that no line could leave at one end: those are at
+#: most five lines, so all of them can be named. This is another way than the operator's.
 OP8 = r"""WITH raw AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL),
 numbered AS (SELECT doc_id, r, l[r] AS x, CASE WHEN regexp_matches(l[r], '\S') THEN sum(CASE WHEN regexp_matches(l[r], '\S') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY r) - 1 END AS pos FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS r FROM raw) y),
 line AS (SELECT doc_id, pos, trim(x, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS x, len(regexp_split_to_array(trim(x, ' ' || chr(9) || chr(11) || chr(12) || chr(13)), '\s+')) AS n FROM numbered WHERE pos IS NOT NULL),
 total AS (SELECT *, sum(n) OVER (PARTITION BY doc_id ORDER BY pos) AS t FROM line),
-reach AS (SELECT a.doc_id, a.pos, min(b.pos) AS last FROM total a JOIN total b ON b.doc_id = a.doc_id AND b.pos >= a.pos AND b.pos < a.pos + 5 AND b.t - a.t + a.n >= 5 GROUP BY a.doc_id, a.pos),
+reach AS (SELECT a.doc_id, a.pos, b.pos AS last FROM total a JOIN total b ON b.doc_id = a.doc_id AND b.pos >= a.pos AND b.pos < a.pos + 5 AND b.t - a.t + a.n >= 5 AND (b.t - b.n - a.t + a.n < 5 OR b.t - a.t < 5)),
 run AS (SELECT r.doc_id, r.pos, r.last, string_agg(b.x, chr(10) ORDER BY b.pos) AS s FROM reach r JOIN line b ON b.doc_id = r.doc_id AND b.pos BETWEEN r.pos AND r.last GROUP BY r.doc_id, r.pos, r.last),
 later AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY s ORDER BY doc_id, pos) AS nth FROM run) z WHERE nth > 1),
 gone AS (SELECT DISTINCT doc_id, unnest(range(pos::BIGINT, last::BIGINT + 1)) AS pos FROM later),

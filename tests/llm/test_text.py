@@ -262,40 +262,14 @@ def test_line_rules(spark):
     rng = random.Random(10)
     prose = "\n".join(sentence(rng, 20).capitalize() + "." for _ in range(4))
     menu = "\n".join("Home | News | Sport | About us" for _ in range(20)) + "\n" + prose
-    texts = [prose, menu, prose + "\nHome | News | Sport | About\nAll rights reserved.\nno end here"]
+    long_ = " ".join(sentence(rng, 20).capitalize() + "." for _ in range(9))
+    notice = "All rights reserved. " + " ".join(f"We use cookies, see the privacy policy of {sentence(rng, 6)}." for _ in range(5))
+    texts = [prose, menu, prose + "\nHome | News | Sport | About\nAll rights reserved.\nno end here", f"{long_} and so on", f"{prose}\n{prose}\n{prose}\n{notice}", f"{prose}\n{prose}\n{prose}\n{sentence(rng, 70)}", f"{long_} Read more."]
     rows = cleaning.judged(documents(spark, texts)).orderBy("doc_id").collect()
-    assert [(r.kept, r.n_lines_removed, r.text) for r in rows] == [(True, 0, prose), (False, 20, prose), (True, 3, prose)]
-
-
-def plain_lines(docs, least):
-    """Removed lines by the rule: runs that just have `least` words and stand earlier."""
-    seen, gone = set(), defaultdict(set)
-    for i, text in docs:
-        own = [x.strip() for x in (text or "").split("\n") if x.strip()]
-        for k in range(len(own)):
-            n = 0
-            for m in range(k, len(own)):
-                n += len(own[m].split())
-                if n >= least:
-                    if (run := tuple(own[k : m + 1])) in seen:
-                        gone[i].update(range(k, m + 1))
-                    seen.add(run)
-                    break
-    return gone
-
-
-@pytest.mark.parametrize("least", [1, 5, 9])
-def test_line_dedup(spark, least):
-    rng = random.Random(11)
-    pool = [sentence(rng, n) for n in (1, 1, 1, 2, 2, 3, 6, 12)]
-    texts = [*ODD, *("\n".join(rng.choice([*pool, "", " ", sentence(rng, 3)]) for _ in range(rng.randint(0, 14))) for _ in range(60))]
-    texts += texts[-3:]
-    gone = plain_lines(enumerate(texts), least)
-    for r in lines.deduplicate_lines(documents(spark, texts), least).collect():
-        own = [x for x in (texts[r.doc_id] or "").split("\n") if x.strip()]
-        left = [x for k, x in enumerate(own) if k not in gone[r.doc_id]]
-        assert (r.n_lines, r.n_removed) == (len(own), len(gone[r.doc_id]))
-        assert (r.text is None) == (texts[r.doc_id] is None) and [x for x in (r.text or "").split("\n") if x.strip()] == left
+    thrice = "\n".join([prose] * 3)
+    assert len(long_) > 300 < len(notice)
+    assert [(r.n_lines_removed, r.text) for r in rows] == [(0, prose), (20, prose), (3, prose), (0, texts[3]), (1, thrice), (1, thrice), (0, texts[6])]
+    assert [r.kept for r in rows[:4]] == [True, False, True, True]
 
 
 def plain_maximal_runs(docs, least):
@@ -315,24 +289,31 @@ def plain_maximal_runs(docs, least):
 
 
 @pytest.mark.parametrize("least", [1, 5, 9])
-def test_line_dedup_takes_whole_runs(spark, least):
+def test_line_dedup(spark, least):
     rng = random.Random(14)
     pool = [sentence(rng, n) for n in (1, 1, 1, 2, 2, 3, 6, 12)]
     texts = [*ODD, *("\n".join(rng.choice([*pool, "", " ", sentence(rng, 3)]) for _ in range(rng.randint(0, 14))) for _ in range(60))]
-    texts += [*texts[-3:], f"{pool[7]}\n{pool[3]}\nother", f"{pool[7]}\n{pool[3]}"]
+    long_ = [rng.choice(pool[3:]) for _ in range(23)]
+    texts += [*texts[-3:], f"{pool[7]}\n{pool[3]}\nother", f"{pool[7]}\n{pool[3]}", "\n".join(long_), "\n".join([pool[0], *long_[2:], *long_[:4]]), "\n".join([pool[1]] * 21)]
+    texts += ["alpha beta gamma delta epsilon\nx\nfirst one of all", "alpha beta gamma delta epsilon\nx\nsecond one", "a1 b1 c1\nd1 e1 f1\nq\nA", "a1 b1 c1\nd1 e1 f1\nq\nB"]
     gone = plain_maximal_runs(enumerate(texts), least)
-    assert least != 5 or gone != plain_lines(enumerate(texts), least)
-    for r in lines.deduplicate_lines(documents(spark, texts), least, whole_runs=True).collect():
+    assert least != 5 or [gone[i] for i in range(len(texts) - 4, len(texts))] == [set(), {0, 1}, set(), {0, 1, 2}]
+    for r in lines.deduplicate_lines(documents(spark, texts), least).collect():
         own = [x for x in (texts[r.doc_id] or "").split("\n") if x.strip()]
         left = [x for k, x in enumerate(own) if k not in gone[r.doc_id]]
-        assert [x for x in (r.text or "").split("\n") if x.strip()] == left and r.n_removed == len(gone[r.doc_id])
+        assert (r.n_lines, r.n_removed) == (len(own), len(gone[r.doc_id]))
+        assert (r.text is None) == (texts[r.doc_id] is None) and [x for x in (r.text or "").split("\n") if x.strip()] == left
 
 
 def test_suffix_levels_are_suffix_arrays(spark):
     rng = random.Random(12)
     seqs = {f"d{i}": [rng.choice("abc") for _ in range(rng.randint(1, 9))] for i in range(8)}
-    df = spark.createDataFrame([(d.encode(), p, x.encode()) for d, s in seqs.items() for p, x in enumerate(s)], "doc binary, pos int, line binary")
-    for k, level in enumerate(lines.suffix_levels(df, 8)):
+    df = spark.createDataFrame([(int(d[1:]), d.encode(), p, x.encode()) for d, s in seqs.items() for p, x in enumerate(s)], "doc_id long, doc binary, pos int, line binary")
+    whole = ["".join(s) for s in seqs.values()]
+    longest = max(n for i, a in enumerate(whole) for n in range(1, 10) for p in range(len(a) - n + 1) if any(a[p : p + n] in b for b in whole[:i] + whole[i + 1 :]) or a.find(a[p : p + n], p + 1) >= 0)
+    levels = lines.suffix_levels(df)
+    assert len(levels) == longest.bit_length()
+    for k, level in enumerate(levels):
         width = 1 << k
         runs = {(d, p): "".join(s[p : p + width]) for d, s in seqs.items() for p in range(len(s) - width + 1)}
         n = Counter(runs.values())
@@ -343,13 +324,37 @@ def test_suffix_levels_are_suffix_arrays(spark):
         assert all(len(r) == 1 for r in ranks.values()) and [min(ranks[x]) for x in order] == sorted(min(r) for r in ranks.values())
 
 
+def test_longest_common_prefixes(spark):
+    rng = random.Random(17)
+    seqs = [[rng.choice("ab") for _ in range(rng.randint(0, 19))] for _ in range(12)]
+    seqs += [seqs[3], seqs[4][3:], ["z"] * 13]
+    df = spark.createDataFrame([(i, b"%d" % i, p, x.encode()) for i, s in enumerate(seqs) for p, x in enumerate(s)], "doc_id long, doc binary, pos int, line binary")
+    at = [(i, p) for i, s in enumerate(seqs) for p in range(len(s))]
+
+    def common(x, y):
+        n = 0
+        for a, b in zip(seqs[x[0]][x[1] :], seqs[y[0]][y[1] :]):
+            if a != b:
+                break
+            n += 1
+        return n
+
+    want = {x: max((common(x, y) for y in at[:k]), default=0) for k, x in enumerate(at)}
+    rows = lines.repeated_runs(df).collect()
+    assert {(r.doc_id, r.pos): r.n for r in rows} == {k: n for k, n in want.items() if n} and len(rows) == sum(n > 0 for n in want.values())
+
+
 def test_line_dedup_rest(spark):
+    clash = spark.createDataFrame([(1, "a b c d e f", 77, 5), (2, "a b c d e f\ng", 78, 6), (3, "a b c d e f", 1, 1)], "doc_id long, text string, n_lines long, _text long")
+    assert sorted(map(tuple, lines.without_copied_lines(clash).collect())) == [(1, "a b c d e f", 77, 5), (2, "g", 78, 6)]
     assert lines.deduplicate_lines(documents(spark, [])).count() == 0
     df = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (None, "g h i j k l"), (2, "g h i j k l")], "doc_id long, text string")
     assert sorted((r.doc_id or 0, r.text) for r in lines.deduplicate_lines(df).collect()) == [(0, "g h i j k l"), (1, "a b c d e f"), (1, "a b c d e f"), (2, "")]
 
 
-def test_language(spark, sf_dir):
+@pytest.mark.parametrize("languages", [512, 3])
+def test_language(spark, sf_dir, monkeypatch, languages):
+    monkeypatch.setattr(language, "LANGUAGES", languages)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = language.train(docs.where(~language.is_held_out()))
     rows = language.identify(docs.where(language.is_held_out()), model, ["lang"]).collect()
@@ -358,16 +363,51 @@ def test_language(spark, sf_dir):
     assert [r.lang_pred == "und" for r in odd] == [True] * 5 + [False] * 5 + [True] and odd[0].score == 0.0
     nothing = language.train(docs.limit(0))
     assert [r.lang_pred for r in language.identify(documents(spark, ["abc"]), nothing).collect()] == ["und"]
-
-
-def test_language_counts_are_exact(spark):
-    docs = [("ab ab", "x"), ("ÀB", "x"), ("cd", "y"), (None, "x"), ("zz", None), ("1", "y")]
-    model = language.train(spark.createDataFrame(docs, "text string, lang string"))
-    assert model.languages == ["x", "y"]
-    want = np.zeros((2, language.BUCKETS))
+    clash = spark.createDataFrame([("abc", 7, "x")], "text string, score int, lang_pred string")
+    assert [tuple(r) for r in language.judged(clash, model).select("_row.*").collect()] == [("abc", 7, "x")]
+
+
+def plain_grams(text):
+    """Counts of hashed n-grams by the definition: 1 to 3 letters or edges of words, none over the space between words."""
+    words = re.findall(r"[^\W\d_]+", (text or "").lower())
+    if not any(ch.isalpha() for w in words for ch in w):
+        return Counter()
+    grams = [g for w in words for n in (1, 2, 3) for t in [f" {w} " if n > 1 else w] for g in (t[k : k + n] for k in range(len(t) - n + 1))]
+
+    def bucket(g):
+        h = 0
+        for ch in g:
+            h = (h * 0x100000001B3 + ord(ch)) % 2**64
+        h = (h + (len(g) << 40)) % 2**64
+        h = (h ^ h >> 30) * 0xBF58476D1CE4E5B9 % 2**64
+        h = (h ^ h >> 27) * 0x94D049BB133111EB % 2**64
+        return (h ^ h >> 31) % 2**14
+
+    return Counter(map(bucket, grams))
+
+
+@pytest.mark.parametrize("languages", [512, 2])
+def test_language_is_naive_bayes(spark, monkeypatch, languages):
+    """Predictions and posteriors against sums over counts by hand."""
+    monkeypatch.setattr(language, "LANGUAGES", languages)
+    rng = random.Random(18)
+    names = {"aa": "abcde é", "bb": "cdefg ", "cc": "efgha ", "dd": "hiöjk ", "ee": "abkjh "}
+    docs = [("".join(rng.choice(letters) for _ in range(rng.randint(0, 60))) + rng.choice(["", " 12 ", "_x"]), rng.choice([lang, lang, None])) for lang, letters in names.items() for _ in range(12)]
+    docs += [(None, "aa"), ("1 2", "bb"), ("ßSS İ", "cc")]
+    counts, rows = defaultdict(Counter), Counter()
     for text, lang in docs:
-        if lang and text:
-            for b in language.gram_buckets([language.normalized(text)])[0]:
-                want[model.languages.index(lang), b] += 1
-    want = np.log((want + 0.5) / (want + 0.5).sum(axis=1, keepdims=True))
-    assert np.allclose(model.log_prob, want, atol=1e-5) and np.allclose(model.log_prior, np.log([2 / 3, 1 / 3]))
+        if lang and (grams := plain_grams(text)):
+            counts[lang] += grams
+            rows[lang] += 1
+    model = language.train(spark.createDataFrame(docs, "text string, lang string").repartition(5))
+    assert model.languages == sorted(rows) and model.rows == [rows[k] for k in sorted(rows)]
+    asked = ["".join(rng.choice("abcdefghijköé ") for _ in range(rng.randint(0, 30))) for _ in range(60)] + [None, "", "7"]
+    got = language.identify(documents(spark, asked), model).orderBy("doc_id").collect()
+    for text, r in zip(asked, got, strict=True):
+        grams = plain_grams(text)
+        if not grams:
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        log = {k: math.log(rows[k] / sum(rows.values())) + sum(n * math.log((counts[k][g] + 0.5) / (sum(counts[k].values()) + 0.5 * 2**14)) for g, n in grams.items()) for k in rows}
+        best = max(log, key=log.get)
+        assert r.lang_pred == best and abs(r.score - 1 / sum(math.exp(x - log[best]) for x in log.values())) < 1e-3
