@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from factlake.llm import common as c
 from factlake.llm import language
 from factlake.llm.decontaminate import decontaminated
-from factlake.llm.lines import deduplicate_lines
+from factlake.llm.lines import without_copied_lines
 from factlake.llm.near_dedup import deduplicated
 from factlake.llm.packing import pack_documents
 
@@ -23,27 +23,49 @@ LEAST_SCORE = 0.5
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language the model tells; it learns from two thirds of the labelled ones, as in op7."""
+    """Documents whose language the model tells; it learns from two thirds of the labelled ones, as in op7.
+
+    Null, empty and letterless texts go. Where nothing could be learned, all texts with a letter stay. Other columns stay as
+    they are; equal rows fare alike; an empty table gives no rows.
+    """
     model = language.train(docs.where(~language.is_held_out()))
-    found = language.identify(docs, model, docs.columns)
-    return found.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(docs.columns)
+    if not model.languages:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    found = language.judged(docs, model)
+    return found.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select("_row.*")
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without later copies of line runs, each run whole; those that were nothing else go. n_chars follows the text."""
-    out = deduplicate_lines(docs, whole_runs=True).where((F.col("n_removed") == 0) | (F.col("text") != ""))
+    """Documents without later copies of maximal repeated line runs; those that were nothing else go. n_chars follows the text.
+
+    Null and empty texts stay; rows equal in doc_id and text are one document; other columns stay as they are; an empty
+    table gives no rows.
+    """
+    out = without_copied_lines(docs)
     return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near-duplicates, the one of least doc_id (null first).
+
+    Null and empty texts are classes of their own; rows equal in doc_id and text count once; other columns stay as they are;
+    an empty table gives no rows.
+    """
     return deduplicated(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no window of a benchmark item.
+
+    Null and empty texts are clean; equal rows fare alike; other columns stay as they are; an empty table gives no rows, and an
+    empty benchmark leaves all.
+    """
     return decontaminated(docs, c.table(spark, sf_dir, "benchmark"), unnamed=True)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents with their places in sequences, as in op2: null and empty texts are the end id alone, equal rows
+    are all packed, other columns are left out, and an empty table gives no rows."""
     return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
