@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from factlake.plans.lineage import delete_at_exit, new_path
@@ -46,6 +46,13 @@ def scratch(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def counted(df: DataFrame, name: str, what=None) -> tuple[DataFrame, int]:
+    """scratch(df), and the number of its rows (or another aggregate), which writing them has counted."""
+    seen = Observation()
+    out = scratch(df.observe(seen, (F.count(F.lit(1)) if what is None else what).alias("n")), name)
+    return out, seen.get.get("n") or 0
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -82,12 +89,10 @@ FAN_IN = 64
 
 def merged(rows: DataFrame, key: str, add: Callable[[pa.Table], pa.Table]) -> DataFrame:
     """One row per key of rows (key, task, ...), where task numbers the tasks that made them: add makes one row of a table of
-    rows of a key, at most FAN_IN of them, until there is one of each."""
-    rows = scratch(rows, "counts")
-    last = rows.agg(F.max("task")).first()[0] or 0
+    rows of a key, at most FAN_IN tasks' of them, until there is one of each."""
     while True:
-        rows = scratch(rows.withColumn("task", F.expr(f"task div {FAN_IN}")).groupBy(key, "task").applyInArrow(add, rows.schema), "counts")
-        last //= FAN_IN
+        rows = rows.withColumn("task", F.expr(f"task div {FAN_IN}")).groupBy(key, "task").applyInArrow(add, rows.schema)
+        rows, last = counted(rows, "counts", F.max("task"))
         if not last:
             return rows
 

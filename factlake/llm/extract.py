@@ -340,9 +340,9 @@ def extract(pages: DataFrame) -> DataFrame:
     Null and empty html gives ""; pages without a url form one host; equal rows give equal rows; other columns are
     ignored. Very long and malformed pages are read in time linear in their length.
     """
-    paths = c.scratch(host_paths(pages), "paths")
+    paths, hosts = c.counted(host_paths(pages), "paths")
     rows = pages.select("page_id", "url", "html", host_of("url").alias("host"))
-    if paths.count() <= BROADCAST_HOSTS:
+    if hosts <= BROADCAST_HOSTS:
         rows = rows.join(F.broadcast(paths), "host", "left")
     else:
         # as many salts as a host has rows for; the salt is by row, as equal pages may be many

@@ -71,13 +71,13 @@ def suffix_levels(lines: DataFrame) -> list[DataFrame]:
     """Suffixes of lines (doc_id, doc, pos, line) that share 1, 2, 4, ... first lines with another, up to the last such number:
     a table (doc_id, doc, pos, rank, first) for each, ordered by rank like the suffix array to that depth."""
     levels, shift = [], 1
-    tied = c.scratch(lines.join(ranked(lines, ["line"]).hint("merge"), "line").drop("line"), "suffixes")
-    while not tied.isEmpty():
+    tied, n = c.counted(lines.join(ranked(lines, ["line"]).hint("merge"), "line").drop("line"), "suffixes")
+    while n:
         levels.append(tied)
         first = tied.drop("first").withColumnRenamed("rank", "rank_1")
         second = tied.select("doc", (F.col("pos") - shift).alias("pos"), F.col("rank").alias("rank_2"))
         pairs = c.scratch(first.join(second, ["doc", "pos"]), "pairs")
-        tied = c.scratch(pairs.join(ranked(pairs, ["rank_1", "rank_2"]).hint("merge"), ["rank_1", "rank_2"]).drop("rank_1", "rank_2"), "suffixes")
+        tied, n = c.counted(pairs.join(ranked(pairs, ["rank_1", "rank_2"]).hint("merge"), ["rank_1", "rank_2"]).drop("rank_1", "rank_2"), "suffixes")
         shift *= 2
     return levels
 
@@ -94,7 +94,7 @@ def repeated_runs(lines: DataFrame) -> DataFrame:
         width = 1 << k
         if moved is not None:
             at = levels[k].select(F.col("doc").alias("_doc"), F.col("pos").alias("_at"), "rank")
-            rows = c.scratch(state.join(at, (F.col("doc") == F.col("_doc")) & (F.col("pos") + F.col("n") == F.col("_at")), "left").drop("_doc", "_at"), "members")
+            rows = state.join(at, (F.col("doc") == F.col("_doc")) & (F.col("pos") + F.col("n") == F.col("_at")), "left").drop("_doc", "_at")
             name = ["first", "n", "rank"]
             longer = rows.where("rank IS NOT NULL").groupBy(*name).agg(F.min(_place()).alias("head"), F.max(F.when(F.col("asks"), _place())).alias("last")).where("last > head").drop("last")
             # written first, so that the join reads two plain shuffles and Spark may split a run that stands very often

@@ -98,8 +98,8 @@ def pieces_of(docs: DataFrame, vocabulary: str, end_id: int, capacity: int) -> D
 def packed(pieces: DataFrame, capacity: int) -> DataFrame:
     """pieces (length from 1 to capacity, ...) with sequence_id and offset: their place in sequences of that capacity."""
     spark, names = pieces.sparkSession, pieces.columns
-    numbered = c.scratch(pieces.withColumn("_row", F.monotonically_increasing_id()), "pieces")
-    groups = max(SALTS, -(-numbered.count() // GROUP))
+    numbered, n = c.counted(pieces.withColumn("_row", F.monotonically_increasing_id()), "pieces")
+    groups = max(SALTS, -(-n // GROUP))
     salted = numbered.withColumn("_salt", F.pmod(F.xxhash64("_row"), F.lit(groups)))
     sizes = salted.groupBy("length", "_salt").agg(F.count("*").alias("_n"))
     sizes = c.scratch(sizes, "lengths")

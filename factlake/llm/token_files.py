@@ -157,7 +157,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int, ids:
     c.bound_batches(spark)
     placed = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("_place"))
     dealt = placed.repartitionByRange(c.partitions(spark), "doc_id", "_place").sortWithinPartitions("doc_id", "_place").drop("_place")
-    entries = c.scratch(dealt.mapInArrow(write, f"doc_id {kind}, copy long, part long, shard long, record int, n long, file string"), "entries")
+    entries, n_entries = c.counted(dealt.mapInArrow(write, f"doc_id {kind}, copy long, part long, shard long, record int, n long, file string"), "entries")
     # doc_ids that go on in another task: two for each task at most
     ends = entries.groupBy("part").agg(F.min(F.struct("doc_id")).alias("lo"), F.max(F.struct("doc_id")).alias("hi"))
     ends = ends.select(F.explode(F.array("lo", "hi")).alias("id"), "part").distinct()
@@ -177,7 +177,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int, ids:
     before = F.sum("n_ids").over(Window.partitionBy("part").orderBy("shard")) - F.col("n_ids")
     manifest = shards.withColumn("_before", before).join(starts, "part").select("shard", "file", "n_records", "n_ids", (F.col("part_start") + F.col("_before")).alias("start"))
     manifest.write.parquet(f"{path}/manifest")
-    buckets = max(1, -(-entries.count() // BUCKET_KEYS))
+    buckets = max(1, -(-n_entries // BUCKET_KEYS))
 
     def build(t: pa.Table) -> pa.Table:
         keys = list(zip(t.column("doc_id").to_pylist(), t.column("copy").to_pylist(), strict=True))

@@ -114,8 +114,8 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
     """
     date = datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
     again = resolved(headers_of(pages), least_bytes).where("refers_to IS NOT NULL")
-    again = c.scratch(again.select(F.col("page_id").alias("_page"), F.col("payload_digest").alias("_digest"), "refers_to", "refers_to_url").distinct(), "revisits")
-    measured = again.agg(F.sum(F.coalesce(F.octet_length("refers_to_url"), F.lit(0)) + 100)).first()[0] or 0
+    again = again.select(F.col("page_id").alias("_page"), F.col("payload_digest").alias("_digest"), "refers_to", "refers_to_url").distinct()
+    again, measured = c.counted(again, "revisits", F.sum(F.coalesce(F.octet_length("refers_to_url"), F.lit(0)) + 100))
     again = F.broadcast(again) if measured <= LIST_BYTES else again.hint("merge")
     rows = pages.select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("html")).withColumn("_sha", F.sha1("html"))
     rows = rows.join(again, (F.col("_sha") == F.col("_digest")) & F.col("page_id").eqNullSafe(F.col("_page")), "left")
