@@ -20,7 +20,7 @@ Facts (columns beyond these are ignored):
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, fields
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -53,25 +53,27 @@ PORT_SUFFIXES = ["Repository", "Client"]
 UNPREFIXED = ["main", "new", "go", "wblk"]
 
 
-@dataclass
 class Facts:
-    fn: DataFrame
-    call: DataFrame
-    param: DataFrame
-    static_ref: DataFrame
-    assert_ident: DataFrame
-    use_item: DataFrame
-    type_item: DataFrame
-    field: DataFrame
-    variant: DataFrame
-    impl_item: DataFrame
-    crate_attr: DataFrame
-    caps: DataFrame
-    snapshot: DataFrame
+    """The fact tables by name, as attributes. With of(), each is made when a rule first asks for it, so that a rule's plan has
+    its own tables only."""
+
+    NAMES = ("fn", "call", "param", "static_ref", "assert_ident", "use_item", "type_item", "field", "variant", "impl_item", "crate_attr", "caps", "snapshot")
+
+    def __init__(self, make: Callable[[str], DataFrame] | None = None, **tables: DataFrame):
+        self._make, self._tables = make, tables
 
     @classmethod
     def of(cls, make: Callable[[str], DataFrame]) -> "Facts":
-        return cls(**{f.name: make(f.name) for f in fields(cls)})
+        return cls(make)
+
+    def __getattr__(self, name: str) -> DataFrame:
+        if name not in Facts.NAMES:
+            raise AttributeError(name)
+        if name not in self._tables:
+            if self._make is None:
+                raise AttributeError(f"no table {name}")
+            self._tables[name] = self._make(name)
+        return self._tables[name]
 
 
 def _text(*parts) -> Column:
@@ -407,6 +409,12 @@ def diagnostics(facts: Facts, names: list[str] | None = None) -> DataFrame:
     return reduce(DataFrame.unionByName, ([fn_diagnostics(facts, shared)] if shared else []) + tables)
 
 
+def failed(diagnostic: DataFrame) -> DataFrame:
+    """(failed, n_deny, n_warn), one row: a run fails where any diagnostic denies."""
+    deny = F.count_if(F.col("level") == "deny")
+    return diagnostic.agg((deny > 0).alias("failed"), deny.alias("n_deny"), F.count_if(F.col("level") == "warn").alias("n_warn"))
+
+
 def has_failed(diagnostic: DataFrame) -> bool:
     """Whether any diagnostic denies."""
     return not diagnostic.where("level = 'deny'").isEmpty()

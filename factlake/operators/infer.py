@@ -7,12 +7,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factlake.functions import caps
-from factlake.plans.lineage import settled
+from factlake.plans.lineage import discard, settled
 
+#: Rounds after which their tables are merged.
+MERGE = 8
 #: Path prefixes of the standard library's crates.
 STD = ("std::", "core::", "alloc::", "compiler_builtins::")
 
@@ -76,7 +78,8 @@ def infer(fn: DataFrame, edge: DataFrame, seed: DataFrame, max_rounds: int | Non
     Functions in seed and port methods keep their sets. A callee is looked up among the functions, then in seed, then,
     without @, as a vote of its implementations; that choice never changes, so edges are resolved once. Each round
     joins only what changed in the round before, and groups with a changed member vote again. Sets only grow and have
-    eight letters, so it ends; max_rounds stops it sooner.
+    eight letters, so it ends; max_rounds stops it sooner. A round writes what has changed; after MERGE rounds these tables
+    become one, and the older ones go.
     """
     fn = fn.join(seed.select(F.col("key").alias("def_path"), F.col("mask").alias("seeded")), "def_path", "left")
     own = fn.select("def_path", F.coalesce("seeded", caps.signature_mask()).alias("mask"), (F.col("seeded").isNotNull() | F.col("is_port_method")).alias("frozen"))
@@ -96,21 +99,36 @@ def infer(fn: DataFrame, edge: DataFrame, seed: DataFrame, max_rounds: int | Non
     voting = settled(asked.join(members.select("group_key").distinct(), "group_key", "left_semi"), "votes")
     members = settled(members.join(voting.select("group_key").distinct(), "group_key", "left_semi"), "members")
 
-    changed, rounds = state.select("def_path", "mask"), 0
+    state = state.drop("frozen")
+    deltas: list[DataFrame] = []
+
+    def masks() -> DataFrame:
+        """(def_path, mask), a row for each time a function's set has grown."""
+        return reduce(DataFrame.union, deltas, state)
+
+    def latest(rows: DataFrame, *more: Column) -> DataFrame:
+        return rows.groupBy("def_path").agg(F.bit_or("mask").alias("mask"), *more)
+
+    changed, rounds = state, 0
     while max_rounds is None or rounds < max_rounds:
         rounds += 1
         again = members.join(changed.select("def_path"), "def_path", "left_semi").select("group_key").distinct()
-        votes = vote(members.join(again, "group_key", "left_semi").join(state.select("def_path", "mask"), "def_path"))
+        asked = members.join(again, "group_key", "left_semi")
+        votes = vote(asked.join(latest(masks().join(asked.select("def_path"), "def_path", "left_semi")), "def_path"))
         passed = direct.join(changed, "def_path").select("caller", "mask").union(voting.join(votes, "group_key").select("caller", "mask"))
-        gained = passed.groupBy("caller").agg(F.bit_or(F.col("mask").bitwiseAND(caps.PASSED)).alias("gained"))
-        step = state.join(gained, state["def_path"] == gained["caller"], "left")
-        new = F.col("mask").bitwiseOR(F.coalesce("gained", F.lit(0)))
-        state = settled(step.select("def_path", new.alias("mask"), "frozen", (new != F.col("mask")).alias("moved")), "state")
-        changed = state.where("moved").select("def_path", "mask")
-        state = state.drop("moved")
+        gained = passed.groupBy(F.col("caller").alias("def_path")).agg(F.bit_or(F.col("mask").bitwiseAND(caps.PASSED)).alias("gained"))
+        known = latest(masks().join(gained, "def_path"), F.first("gained").alias("gained"))
+        new = F.col("mask").bitwiseOR(F.col("gained"))
+        changed = settled(known.where(new != F.col("mask")).select("def_path", new.alias("mask")), "delta")  # what a round writes
         if changed.isEmpty():
             break
-    return state.select("def_path", "mask")
+        deltas.append(changed)
+        if len(deltas) == MERGE:
+            merged = settled(latest(masks()), "state")
+            for old in (state, *deltas[:-1]):
+                discard(old)
+            state, deltas = merged, []
+    return latest(masks())
 
 
 def direct_external(fn: DataFrame, edge: DataFrame, seed: DataFrame, inferred: DataFrame, crate: str) -> DataFrame:
@@ -133,8 +151,6 @@ def unknown_callees(external: DataFrame, shown: int = 3) -> DataFrame:
 
     Callers are ranked before they are gathered, so that a callee of any number of callers costs one short list.
     """
-    from pyspark.sql import Window
-
     unknown = external.where("mask IS NULL").select("callee", "caller").distinct()
     rank = F.row_number().over(Window.partitionBy("callee").orderBy("caller"))
     first = unknown.withColumn("rank", rank).where(F.col("rank") <= shown)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factlake.functions import caps
-from factlake.operators.infer import group_of_callee, impl_votes
+from factlake.operators.infer import group_of_callee, impl_index, vote
 
 
 def shown(mask: Column) -> Column:
@@ -19,8 +19,10 @@ def callees(function: str, fn: DataFrame, edge: DataFrame, inferred: DataFrame,
     own = edge.where(F.col("caller") == function).select("callee").distinct()
     out = own.join(inferred.select(F.col("def_path").alias("callee"), F.col("mask").alias("one")), "callee", "left")
     out = out.join(seed.select(F.col("key").alias("callee"), F.col("mask").alias("two")), "callee", "left")
-    votes = impl_votes(fn, inferred).select("group_key", F.col("mask").alias("three"))
-    out = out.withColumn("group_key", group_of_callee("callee")).join(votes, "group_key", "left")
+    out = out.withColumn("group_key", group_of_callee("callee"))
+    members = impl_index(fn).join(F.broadcast(out.select("group_key").distinct()), "group_key", "left_semi")  # one function's callees
+    votes = vote(members.join(inferred.select("def_path", "mask"), "def_path", "left")).select("group_key", F.col("mask").alias("three"))
+    out = out.join(votes, "group_key", "left")
     return out.select("callee", F.coalesce("one", "two", "three").alias("mask")).withColumn("text", shown(F.col("mask")))
 
 

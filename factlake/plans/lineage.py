@@ -16,6 +16,7 @@ def shared_dir(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="factlake-")
         spark.conf.set("spark.checkpoint.dir", base)
+        delete_at_exit(spark, base)
     return base.rstrip("/")
 
 
@@ -42,3 +43,11 @@ def settled(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     delete_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Remove a table that settled() has made and nothing reads any more."""
+    jvm = df.sparkSession.sparkContext._jvm
+    for folder in {x.rpartition("/")[0] for x in df.inputFiles()}:
+        where = jvm.org.apache.hadoop.fs.Path(folder)
+        where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)

@@ -200,7 +200,64 @@ _WHY = f"""SELECT callee, CAST(mask AS INT) AS mask, CASE WHEN mask IS NULL THEN
     LEFT JOIN ({_votes(_IMPL, 'sig')}) v ON v.group_key = {_CALLEE_GROUP} AND e.callee LIKE '%::run') y"""
 _PAIRS = "(SELECT DISTINCT CAST((l_partkey * 37) % 256 AS INT) AS a, CAST((l_suppkey * 91) % 256 AS INT) AS b FROM lineitem)"
 
+# Lines one after the other, whether a block comment is open going from one to the next.
+_LINES = r"""WITH RECURSIVE d AS (SELECT doc_id, list_concat(list_concat(['{'], list_transform(string_split(text, chr(10)), lambda x, i: CASE (i - 1) % 5 WHEN 1 THEN '/* note */ "// text" ' WHEN 2 THEN '// ' WHEN 3 THEN '/* ' WHEN 4 THEN '*/ ' ELSE '' END || x)), ['}']) AS l FROM documents),
+step(doc_id, i, is_open, n) AS (SELECT doc_id, 0, false, 0 FROM documents UNION ALL SELECT doc_id, i + 1, CASE WHEN skip THEN is_open WHEN stays THEN true ELSE contains(regexp_replace(after, '"(?:\\.|[^"\\])*"?|/\*.*?\*/|//.*', '', 'g'), '/*') END,
+        n + CASE WHEN NOT skip AND NOT stays AND regexp_matches(regexp_replace(after, '("(?:\\.|[^"\\])*"?)|/\*.*?\*/|//.*|/\*.*', '\1', 'g'), '\S') THEN 1 ELSE 0 END
+    FROM (SELECT *, x IN ('', '{', '}') AS skip, is_open AND NOT contains(x, '*/') AS stays, CASE WHEN is_open THEN regexp_replace(x, '^.*?\*/', '') ELSE x END AS after
+        FROM (SELECT s.*, regexp_replace(l[i + 1], '^\s+|\s+$', '', 'g') AS x FROM step s JOIN d USING (doc_id) WHERE i < len(l)) a) b)
+SELECT doc_id, CAST(max(n) AS BIGINT) AS lines FROM step GROUP BY doc_id"""
+
+_DENIED = " UNION ALL ".join(f"SELECT level FROM ({_lint(n)}) d{k}" for k, n in enumerate(("call_violation", "deny_warnings", "stub_macro")))
+# Two graphs: implementations with their calls, and suppliers alone, async, with one call.
+_CALLS_OF = f"(SELECT caller, count(*) AS n, min(callee) AS least FROM (SELECT DISTINCT * FROM ({f.plain(f.VOTING)}) v) e GROUP BY caller)"
+_GRAPH = f"""SELECT i.def_path, is_supplier AS has_async, is_unsafe_fn, is_port_method, {{calls}} AS n_calls, {{least}} AS first_call
+    FROM (SELECT *, starts_with(def_path, 'v::s') AS is_supplier FROM {_IMPL} x) i LEFT JOIN {_CALLS_OF} c ON c.caller = i.def_path"""
+_ARG = "CASE s_suppkey % 3 WHEN 0 THEN {} WHEN 1 THEN {} ELSE {} END"
+_ID = "CAST(s_suppkey AS STRING)"
+_MOD = f"'app::m' || {_ID} || '::'"
+_IS_MUT = "(s_suppkey + 1) % 4 = 0"  # of the next one's static, which the function reads; the last one reads none
+_READS = "s_suppkey + 1 IN (SELECT s_suppkey FROM supplier)"
+
+
+def _says(lint: str, message: str, where: str = "true") -> str:
+    return f"SELECT '{lint}' AS lint, {message} AS message FROM supplier WHERE {where}"
+
+
+_SAID = " UNION ALL ".join([
+    _says("static_ref", f"'static ref requires ' || CASE WHEN {_IS_MUT} THEN '{{S, U}}' ELSE '{{S}}' END || ' but fn has {{B}} (missing S(SideEffect))'", _READS),
+    _says("missing_debug_assert", "'param ''a'' missing debug_assert!'", "s_suppkey % 3 = 2 AND s_suppkey % 5 <> 0"),
+    _says("missing_async", "'async but suffix lacks A'", "s_suppkey % 2 = 0"),
+    _says("missing_mutable", "'&mut param but suffix lacks M'", "s_suppkey % 3 = 0"),
+    _says("borrowed_param", "'&String — use &str instead'", "s_suppkey % 3 = 1"),
+    _says("borrowed_param", "'&String field — use &str instead'"),
+    _says("consumed_arg_on_error", f"'owned param ''b'' consumed but not preserved in error type of rvs_f' || {_ID} || '_B'"),
+    _says("consumed_arg_on_error", f"'owned param ''a'' consumed but not preserved in error type of rvs_f' || {_ID} || '_B'", "s_suppkey % 3 = 2"),
+    _says("error_swallow", "'.ok() swallows errors'"),
+    _says("missing_debug_derive", "'type ''T'' missing #[derive(Debug)]'"),
+])
+
 SQL = {
+    "failed": f"SELECT count(*) FILTER (level = 'deny') > 0 AS failed, count(*) FILTER (level = 'deny') AS n_deny, count(*) FILTER (level = 'warn') AS n_warn FROM ({_DENIED}) d",
+    "report_empty": "SELECT CAST(0 AS INT) AS position, 'Capability Report' AS line UNION ALL SELECT 1, repeat('-', 60) UNION ALL SELECT 2, 'Total: 0 functions, 0 lines' UNION ALL SELECT 3, repeat('-', 60) UNION ALL SELECT 4, '(no rvs_ functions found)'",
+    "report_round_trip": f"SELECT name, mask, lines, is_test, {_has('allows', 'dead_code', 'unused')} AS allows_dead_code FROM (SELECT *, {_mask('name')} AS mask FROM {FN} a) b WHERE mask IS NOT NULL",
+    "callgraph_merge": _GRAPH.format(calls="coalesce(c.n, 0) + CASE WHEN is_supplier THEN 1 ELSE 0 END", least="CASE WHEN is_supplier THEN least(coalesce(c.least, 'w::more'), 'w::more') ELSE c.least END"),
+    "callgraph_cached": _GRAPH.format(calls="CASE WHEN is_supplier THEN 1 ELSE coalesce(c.n, 0) END", least="CASE WHEN is_supplier THEN 'w::more' ELSE c.least END"),
+    "caps_tabs": "SELECT CAST(c_custkey AS INT) AS line, CASE c_custkey % 4 WHEN 0 THEN 'a' || c_custkey WHEN 1 THEN 'b' || c_custkey ELSE 'c' END AS key, CAST(CASE c_custkey % 4 WHEN 0 THEN 3 WHEN 1 THEN 32 ELSE 0 END AS INT) AS mask, CAST(NULL AS VARCHAR) AS error FROM customer WHERE c_custkey % 4 <> 2",
+    "caps_file": _merge("true", _PRIORITY),
+    "apply_edits": "SELECT CAST(doc_id AS VARCHAR) AS file, CASE WHEN length(t) < 3 THEN t ELSE '<zero>' || CASE WHEN length(t) < 43 THEN t[4:] ELSE t[4:40] || '<one>' || CASE WHEN length(t) < 903 THEN t[44:] ELSE t[44:900] || '<two>' || t[904:] END END END AS text FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents) d",
+    "why_text": f"SELECT CAST(0 AS INT) AS position, 'v::s7 (pure)' AS line FROM supplier WHERE s_suppkey = 7 UNION ALL SELECT 1, '' FROM supplier WHERE s_suppkey = 7 UNION ALL SELECT 2, '  callees:' FROM supplier WHERE s_suppkey = 7 UNION ALL SELECT 3, '    ' || callee || ': ' || text FROM ({_WHY}) w",
+    "sql_functions": f"SELECT k, {_suffix('name')} AS suffix, {f.parsed('(' + _suffix('name') + ')')} AS mask, {f.letters('(k % 256)')} AS letters, CAST(127 & {_P} & ~(k % 256) AS INT) AS missing, (100 & {_P} & ~(k % 256)) = 0 AS can_call, ((k % 256) & ~59) = 0 AS subset FROM {FN} a",
+    "source_functions": f"""SELECT '/w/src/m' || {_ID} || '.rs' AS file, {_MOD} || CASE i WHEN 0 THEN 'rvs_f' || {_ID} || '_B' WHEN 1 THEN 'help' || {_ID} ELSE 'T::new' END AS def_path,
+        CASE i WHEN 0 THEN 'rvs_f' || {_ID} || '_B' WHEN 1 THEN 'help' || {_ID} ELSE 'new' END AS name, CASE i WHEN 2 THEN 'impl' ELSE 'free' END AS kind, i = 0 AS is_pub, i = 0 AND s_suppkey % 2 = 0 AS is_async, i = 0 AND s_suppkey % 3 = 0 AS has_mut_param,
+        CASE i WHEN 0 THEN 'Says it.' END AS doc, CASE i WHEN 0 THEN 'Result' END AS ret_ty, CASE i WHEN 0 THEN '()' END AS ret_ok, CASE i WHEN 0 THEN 'Error,Vec' END AS ret_errs, CAST(CASE i WHEN 0 THEN 4 WHEN 1 THEN 8 ELSE 10 END AS INT) AS lo_line
+        FROM supplier, (SELECT unnest([0, 1, 2]) AS i) n""",
+    "source_params": f"""SELECT {_MOD} || 'rvs_f' || {_ID} || '_B' AS fn, 'a' AS pat, {_ARG.format("'&u32'", "'&String'", "'u8'")} AS ty, {_ARG.format("'u32'", "'String'", "'u8'")} AS ty_last_ident, s_suppkey % 3 < 2 AS is_ref, s_suppkey % 3 = 0 AS is_mut FROM supplier
+        UNION ALL SELECT {_MOD} || 'rvs_f' || {_ID} || '_B', 'b', 'Order', 'Order', false, false FROM supplier""",
+    "source_graph": f"""SELECT {_MOD} || 'rvs_f' || {_ID} || '_B' AS def_path, s_suppkey % 2 = 0 AS has_async, s_suppkey % 3 = 0 AS has_mut_param, {_READS} AND NOT {_IS_MUT} AS has_static_ref, {_READS} AND {_IS_MUT} AS has_static_mut_ref, {_MOD} || 'help' || {_ID} AS callee FROM supplier
+        UNION ALL SELECT {_MOD} || 'help' || {_ID}, false, false, false, false, NULL FROM supplier UNION ALL SELECT {_MOD} || 'T::new', false, false, false, false, {_MOD} || 'rvs_f' || {_ID} || '_B' FROM supplier""",
+    "source_diagnostics": f"SELECT lint, message, count(*) AS n FROM ({_SAID}) s GROUP BY lint, message",
+    "source_renames": f"SELECT file, replace(text, 'rvs_f' || s || '_B', 'f' || s) AS text FROM ({f.plain(q._SOURCE)}) x",
     "parse_suffix": f"SELECT k, name, {_mask('name')} AS mask, {_suffix('name')} AS raw, CASE WHEN ({_own('name')}) IS NOT NULL THEN {f.letters('(' + _mask('name') + ')')} END AS caps FROM {FN} a",
     "strip_name": f"SELECT k, {_base('name')} AS base, {_base('def_path')} AS path_base FROM {FN} a",
     "unknown_letters": f"SELECT k, CASE WHEN s IS NULL THEN NULL ELSE array_to_string(list_filter(string_split(u, ''), lambda x, i: list_position(string_split(u, ''), x) = i), '') END AS unknown FROM (SELECT k, {_suffix('name')} AS s, regexp_replace({_suffix('name')}, '[ABIMPSTU]', '', 'g') AS u FROM {FN} a) b",
@@ -234,6 +291,6 @@ SQL = {
     "port_traits": "SELECT c_name || CASE WHEN c_custkey % 4 = 0 THEN 'Repository' ELSE 'HttpClient' END AS name FROM customer WHERE c_custkey % 4 < 2",
     "why_callees": _WHY,
     "why_candidates": f"SELECT def_path, def_path || CASE WHEN sig = 0 THEN ' (pure)' ELSE ' = ' || {f.letters('sig')} END AS text FROM (SELECT * FROM {_IMPL} i WHERE contains(def_path, 'p1') ORDER BY def_path LIMIT 10) x",
-    "effective_lines": r"""SELECT doc_id, count(*) FILTER (i % 3 <> 2 AND regexp_matches(translate(x, '"/\\', ''), '\S')) AS lines FROM (SELECT doc_id, l[i + 1] AS x, i FROM (SELECT doc_id, l, unnest(range(0, len(l))) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents) a) b) c GROUP BY doc_id""",
+    "effective_lines": _LINES,
     "all_diagnostics": "SELECT lint, level, count(*) AS n FROM (" + " UNION ALL ".join(_lint(n) for n in _LINTS) + ") d GROUP BY lint, level",
 } | {f"lint_{n}": _lint(n) for n in _LINTS} | {"call_violation": _lint("call_violation")}

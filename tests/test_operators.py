@@ -85,3 +85,53 @@ def test_unknown_is_not_pure(spark):
     df = spark.createDataFrame([(None,), (0,)], "m int")
     assert [r[0] for r in df.select(why.shown(df["m"])).collect()] == ["(unknown)", "(pure)"]
     assert [r[0] for r in df.select(caps.letters("m")).collect()] == [None, ""]
+
+
+def test_edits_like_one_after_the_other(spark):
+    import random
+
+    from factlake.operators import rename
+
+    rng = random.Random(4)
+    files = [(f"f{i}", "".join(rng.choice("abcdef") for _ in range(rng.randint(0, 30)))) for i in range(40)]
+    edits = [(f, a := rng.randint(0, 28), a + rng.randint(0, 6), rng.choice(["", "X", "YYY"])) for f, _ in files for _ in range(rng.randint(0, 6))]
+    ties = {(f, a, b) for f, a, b, _ in edits}
+    once = [next(e for e in edits if e[:3] == k) for k in sorted(ties)]
+    want = {}
+    for f, text in files:
+        for a, b, x in sorted(((a, b, x) for g, a, b, x in once if g == f), key=lambda e: (-e[0], -e[1])):
+            text = text[:a] + x + text[b:] if b <= len(text) else text
+        want[f] = text
+    got = rename.apply_edits(spark.createDataFrame(files, "file string, text string"), spark.createDataFrame(once, "file string, start int, end int, insert string"))
+    assert {r.file: r.text for r in got.collect()} == want
+
+
+def test_sites_in_several_ranges(spark):
+    from factlake.operators import rename
+
+    sites = spark.createDataFrame([("a", 5), ("a", 5), ("a", 50), ("b", 5)], "file string, lo int")
+    ranges = spark.createDataFrame([("a", 0, 9, "impl X for Y"), ("a", 3, 7, "impl X for Z"), ("b", 0, 9, "impl Y")], "file string, lo int, hi int, label string")
+    assert sorted(map(tuple, rename.in_trait_impl(sites, ranges).collect())) == [("a", 5, True), ("a", 5, True), ("a", 50, False), ("b", 5, False)]
+
+
+def test_manifest_lints(spark):
+    from factlake.operators import rename
+
+    plain = '[package]\nname = "t"\n\n[dependencies]\n'
+    text, n = rename.inject_lints(plain)
+    assert n == rename.wanted_table(spark).count() == 40 and "[lints.clippy]" in text and 'manual_ok_err = "allow"' in text
+    assert rename.inject_lints(text) == (text, 0)
+    own, n = rename.inject_lints('[lints.clippy]\npanic = "deny"\ntodo = "warn"\n\n[dependencies]\nx = "1"\n')
+    import tomllib
+
+    found = tomllib.loads(own)
+    assert n == 38 and found["lints"]["clippy"]["panic"] == "deny" and found["dependencies"] == {"x": "1"}
+    for odd in ("not toml [", "lints = 3\n", "[lints]\nclippy = 1\n"):
+        assert rename.inject_lints(odd) == (odd, 0)
+
+
+def test_lints_read_their_own_tables_only(spark, sf_dir):
+    from factlake.plans import queries
+
+    plan = queries.queries()["lint_deny_warnings"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "nation.parquet" in plan and not any(f"{t}.parquet" in plan for t in ("lineitem", "part", "customer", "supplier"))

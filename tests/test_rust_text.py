@@ -38,7 +38,7 @@ def test_scan():
     assert [(t["kind"], t["name"], t["has_debug"]) for t in found["type_item"]] == [("struct", "S", True), ("enum", "MyError", False)]
     assert [v["variant"] for v in found["variant"]] == ["Unknown", "Other", "Io"]
     assert [i["trait_name"] for i in found["impl_item"]] == ["Deref"]
-    assert [(c["caller"], c["site_kind"], c["src_path"], c["method_ident"]) for c in found["call"]] == [("rvs_go_U", "call", "fs::read", None), ("rvs_go_U", "method", None, "ok"), ("test_20260101_x", "call", "rvs_go_U", None)]
+    assert [(c["caller"], c["site_kind"], c["src_path"], c["method_ident"]) for c in found["call"]] == [("rvs_go_U", "call", "fs::read", None), ("rvs_go_U", "method", None, "ok"), ("rvs_go_U", "call", "helper", None), ("tests::test_20260101_x", "call", "rvs_go_U", None)]
 
 
 def test_tables_and_rewrite(spark):
@@ -72,3 +72,102 @@ def test_lints_from_text(spark, tmp_path):
         ("non_rvs_fn", "'only' missing rvs_ prefix"),
     }
     assert ("wildcard_import", "wildcard import: std::io::prelude::*") not in found and not any(m.endswith("missing /// # Safety") for _, m in found)
+
+
+SHAPES = """#![deny(warnings, unused)]
+#![allow(dead_code)]
+use std::fmt;
+static TABLE: [u8; 2] = [1, 2];
+static mut COUNT: u32 = 0;
+thread_local! { static LOCAL: Cell<u32> = Cell::new(0); }
+#[derive(Debug)] pub struct Pair<'a> { pub name: &'a String, pub(crate) list: &mut Vec<u8>, n: (u8, u8) }
+#[derive(Debug)] struct Tuple(pub &'static Vec<u8>, [u8; 4]);
+pub trait OrderRepository { fn get(&self) -> u8; fn put(&mut self, x: u8) {} }
+impl OrderRepository for Pair<'_> { fn get(&self) -> u8 { 1 } }
+impl<T: fmt::Debug> Pair<'_> { pub fn rvs_size(&self, mut n: u32, (a, b): (u8, u8)) -> u32 { n } }
+mod inner { pub mod deep { pub fn rvs_go_B(f: f64, s: &'static str) { debug_assert_eq!(f, s.len() as f64); rvs_go_B(1.0, "x"); } } }
+pub fn rvs_validate_name(name: String, at: Option<&str>) -> Result<(), Failure<Reason>> { if (at == name) { return Ok(()) } unsafe { COUNT += 1 }; let f = &rvs_size_of; helper::<u8>(TABLE[0]) }
+fn rvs_local(v: Box<dyn Fn(u8) -> u8>, w: &Box<u8>) -> Result<u8, (Reason, String)> where u8: Copy { LOCAL.with(|x| x.get()); todo(TABLE) }
+fn helper<T>(t: T) {}
+fn rvs_size_of() {}
+"""
+
+
+def test_shapes():
+    found = rust_text.scan(SHAPES)
+    get = lambda table, *names: [tuple(r[n] for n in names) for r in found[table]]
+    assert get("crate_attr", "name", "args", "lo_line") == [("deny", "warnings,unused", 1), ("allow", "dead_code", 2)]
+    assert get("static_item", "name", "is_mut", "is_thread_local") == [("TABLE", False, False), ("COUNT", True, False), ("LOCAL", False, True)]
+    assert get("field", "type_name", "ty_last_ident", "is_ref", "is_mut") == [("Pair", "String", True, False), ("Pair", "Vec", True, True), ("Pair", None, False, False), ("Tuple", "Vec", True, False), ("Tuple", None, False, False)]
+    paths = [p for (p,) in get("fn", "path")]
+    assert paths == ["OrderRepository::get", "OrderRepository::put", "get@OrderRepository", "Pair::rvs_size", "inner::deep::rvs_go_B", "rvs_validate_name", "rvs_local", "helper", "rvs_size_of"]
+    assert [p for p, port in get("fn", "path", "is_port_method") if port] == paths[:3]
+    params = {(f, p): (t, l, r, m) for f, p, t, l, r, m in get("param", "fn", "pat", "ty", "ty_last_ident", "is_ref", "is_mut")}
+    assert params["Pair::rvs_size", "n"] == ("u32", "u32", False, False) and params["Pair::rvs_size", None] == ("(u8, u8)", None, False, False)
+    assert params["inner::deep::rvs_go_B", "s"] == ("&str", "str", True, False) and params["rvs_validate_name", "at"][:2] == ("Option", "Option")
+    assert params["rvs_local", "v"][:2] == ("Box", "Box") and params["rvs_local", "w"] == ("&Box", "Box", True, False)
+    returned = {p: x for p, *x in get("fn", "path", "ret_ty", "ret_ok", "ret_errs")}
+    assert returned["rvs_validate_name"] == ["Result", "()", "Failure,Reason"] and returned["rvs_local"] == ["Result", "u8", ""] and returned["helper"] == [None, None, None]
+    assert get("assert_ident", "fn", "ident") == [("inner::deep::rvs_go_B", x) for x in ("as", "f", "f64", "len", "s")]
+    assert {(f, i) for f, i in get("body_ident", "fn", "ident")} == {("rvs_validate_name", "COUNT"), ("rvs_validate_name", "TABLE"), ("rvs_local", "LOCAL"), ("rvs_local", "TABLE")}
+    calls = {(c, k, p or m) for c, k, p, m in get("call", "caller", "site_kind", "src_path", "method_ident")}
+    assert calls >= {("rvs_validate_name", "call", "helper"), ("rvs_validate_name", "addr_of", "rvs_size_of"), ("rvs_local", "method", "with"), ("inner::deep::rvs_go_B", "call", "rvs_go_B")}
+    assert not any(name in ("if", "return", "while") for _, _, name in calls)
+
+
+def read(spark, tmp_path, **files):
+    from factlake.operators import check
+
+    for name, text in files.items():
+        path = tmp_path / "src" / f"{name.replace('__', '/')}.rs"
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_text(text)
+    facts = rust_text.as_facts(rust_text.read(spark, str(tmp_path)), "app")
+    return facts, check
+
+
+def test_lints_on_shapes(spark, tmp_path):
+    facts, check = read(spark, tmp_path, lib=SHAPES)
+    found = {(r.lint, r.message) for r in check.diagnostics(facts).collect()}
+    assert found >= {
+        ("static_ref", "static ref requires {S, U} but fn has {} (missing S(SideEffect))"),
+        ("static_ref", "static ref requires {S, T} but fn has {} (missing S(SideEffect), T(ThreadLocal))"),
+        ("missing_debug_assert", "param 'n' missing debug_assert!"),
+        ("borrowed_param", "&Box — use &T instead"),
+        ("borrowed_param", "&String field — use &str instead"),
+        ("deny_warnings", "#![deny(warnings)] — use named lints instead"),
+        ("validate_returns_unit", "rvs_validate_name: validate returning Result<(),E> — use TryFrom returning Result<T,E>"),
+        ("consumed_arg_on_error", "owned param 'name' consumed but not preserved in error type of rvs_validate_name"),
+        ("missing_thread_local", "reads thread_local! but suffix lacks T"),
+        ("missing_side_effect", "reads static but suffix lacks S"),
+    }
+    assert ("missing_debug_assert", "param 'f' missing debug_assert!") not in found
+
+
+def test_equal_names_stay_apart(spark, tmp_path):
+    other = "fn rvs_x() { }\n"
+    facts, check = read(spark, tmp_path, lib="mod a;", a__mod="fn rvs_x() { rvs_y_B(); }\nfn rvs_y_B() {}\n", a__b=other, c=other)
+    rows = check.lint(facts, "call_violation").collect()
+    assert [(r.file.rpartition("/src/")[2], r.lo_line, r.message) for r in rows] == [("a/mod.rs", 1, "{} → rvs_y_B missing B(Blocking)")]
+    assert {r.def_path for r in facts.fn.collect()} == {"app::a::rvs_x", "app::a::rvs_y_B", "app::a::b::rvs_x", "app::c::rvs_x"}
+
+
+def test_inference_from_text(spark, tmp_path):
+    from factlake.operators import infer
+
+    facts, _ = read(spark, tmp_path, lib=SHAPES, io="pub fn run() { inner::deep::rvs_go_B(1.0, X); crate::rvs_validate_name(s, None) }")
+    fn, edge = rust_text.call_graph(facts)
+    masks = {r.def_path: r["mask"] for r in infer.infer(fn, edge, spark.createDataFrame([("app::helper", 2)], "key string, mask int")).collect()}
+    assert masks["app::rvs_validate_name"] == 32 | 128 | 2 and masks["app::rvs_local"] == 32 | 64 and masks["app::io::run"] == 32 | 2
+    assert masks["app::OrderRepository::get"] == 16
+
+
+def test_long_sources_are_read_in_linear_time():
+    import time
+
+    def seconds(n):
+        t = time.thread_time()
+        assert len(rust_text.scan("/// Doc.\nfn f(a: u8) { g(a) }\n" * n)["fn"]) == n
+        return time.thread_time() - t
+
+    assert seconds(8000) < 24 * max(seconds(1000), 0.05)
