@@ -46,7 +46,10 @@ def dimension(spark: SparkSession) -> DataFrame:
 
 def parse_letters(text: Column | str) -> Column:
     """Mask of the known letters in text; unknown ones are passed over, repeats count once. NULL stays NULL."""
-    return _let(_col(text), lambda t: F.when(t.isNotNull(), reduce(lambda a, b: a.bitwiseOR(b), (F.when(F.contains(t, F.lit(x)), b).otherwise(0) for x, b in BIT.items()))))
+    def bits(t: Column) -> Column:
+        return reduce(lambda a, b: a.bitwiseOR(b), (F.when(F.contains(t, F.lit(x)), b).otherwise(0) for x, b in BIT.items()))
+
+    return _let(_col(text), lambda t: F.when(t.isNotNull(), bits(t)))
 
 
 def is_valid(text: Column | str) -> Column:
@@ -57,7 +60,8 @@ def is_valid(text: Column | str) -> Column:
 def parse_strict(text: Column | str) -> Column:
     """Mask of text, or an error for a letter that is unknown."""
     text = _col(text)
-    return F.when(text.isNull(), F.lit(None).cast("int")).when(is_valid(text), parse_letters(text)).otherwise(F.raise_error(F.concat(F.lit("invalid capability in: "), text)).cast("int"))
+    stop = F.raise_error(F.concat(F.lit("invalid capability in: "), text)).cast("int")
+    return F.when(text.isNull(), F.lit(None).cast("int")).when(is_valid(text), parse_letters(text)).otherwise(stop)
 
 
 def letters(mask: Column | str) -> Column:

@@ -116,14 +116,15 @@ def call_edges(facts: Facts) -> DataFrame:
     The dictionary is one equi-join on each path; Spark broadcasts it while it is small.
     """
     fn = _bodies(facts).select(F.col("def_path").alias("caller"), "file", F.col("mask").alias("caller_mask"))
-    call = facts.call.where("site_kind IN ('call', 'method') AND res_kind IN ('Fn', 'AssocFn', 'Variant')").select(
-        "caller", "callee_def_path", F.when(F.col("site_kind") == "method", F.col("method_ident")).otherwise(F.col("src_path")).alias("src_path"), "lo_line", "lo_col"
-    )
+    call = facts.call.where("site_kind IN ('call', 'method') AND res_kind IN ('Fn', 'AssocFn', 'Variant')")
+    source = F.when(F.col("site_kind") == "method", F.col("method_ident")).otherwise(F.col("src_path"))
+    call = call.select("caller", "callee_def_path", source.alias("src_path"), "lo_line", "lo_col")
     one = facts.caps.select(F.col("key").alias("callee_def_path"), F.col("mask").alias("by_def"))
     two = facts.caps.select(F.col("key").alias("src_path"), F.col("mask").alias("by_src"))
     named = caps.parsed_mask(caps.last_segment("callee_def_path"))
     out = call.join(fn, "caller").join(one, "callee_def_path", "left").join(two, "src_path", "left").withColumn("named", named)
-    return out.select("caller", "file", "caller_mask", "callee_def_path", "src_path", F.coalesce("named", "by_def", "by_src").alias("callee_mask"), F.col("named").isNotNull().alias("by_name"), "lo_line", "lo_col")
+    mask, by_name = F.coalesce("named", "by_def", "by_src").alias("callee_mask"), F.col("named").isNotNull().alias("by_name")
+    return out.select("caller", "file", "caller_mask", "callee_def_path", "src_path", mask, by_name, "lo_line", "lo_col")
 
 
 def _callee(edge_source: Column, path: Column) -> Column:
@@ -133,7 +134,8 @@ def _callee(edge_source: Column, path: Column) -> Column:
 def call_violation(facts: Facts) -> DataFrame:
     e = call_edges(facts).where(F.col("callee_mask").isNotNull() & ~caps.can_call("caller_mask", "callee_mask"))
     missing = caps.described(caps.missing_for("caller_mask", "callee_mask"))
-    shown = F.when(F.col("by_name"), caps.last_segment("callee_def_path")).otherwise(_text(_callee(F.col("src_path"), F.col("callee_def_path")), " (", caps.display("callee_mask"), ")"))
+    looked_up = _text(_callee(F.col("src_path"), F.col("callee_def_path")), " (", caps.display("callee_mask"), ")")
+    shown = F.when(F.col("by_name"), caps.last_segment("callee_def_path")).otherwise(looked_up)
     return _rows(e, _text(caps.display("caller_mask"), " → ", shown, " missing ", missing))
 
 
@@ -239,7 +241,8 @@ def deny_warnings(facts: Facts) -> DataFrame:
 
 def catch_all_error(facts: Facts) -> DataFrame:
     enum = facts.type_item.where((F.col("kind") == "enum") & (F.col("name").contains("Error") | _has_name("attrs", "error")))
-    hit = facts.variant.where(F.col("variant").isin(CATCH_ALL)).join(enum.select(F.col("name").alias("type_name"), "file").distinct(), ["type_name", "file"], "left_semi")
+    names = enum.select(F.col("name").alias("type_name"), "file").distinct()
+    hit = facts.variant.where(F.col("variant").isin(CATCH_ALL)).join(names, ["type_name", "file"], "left_semi")
     return _rows(hit, _text("catch-all variant '", F.col("variant"), "' in ", F.col("type_name")))
 
 
@@ -320,21 +323,48 @@ def _validates() -> Column:
     return F.expr("has_body AND NOT is_stub") & first.isin(VALIDATING) & (F.col("ret_ty") == "Result") & (F.col("ret_ok") == "()")
 
 
+def _is_unprefixed() -> Column:
+    own = (F.col("kind") == "free") | _is_inherent()
+    return F.col("mask").isNull() & ~F.col("is_test") & ~F.col("name").isin(UNPREFIXED) & own & F.col("name").rlike("^[a-z]")
+
+
+def _lacks_doc() -> Column:
+    own = (F.col("kind") == "free") | _is_inherent()
+    return F.col("is_pub") & F.col("name").startswith("rvs_") & ~F.col("is_test") & F.col("doc").isNull() & own
+
+
+def _unknown_letters() -> Column:
+    return F.array_join(F.filter(F.split(caps.unknown_letters("name"), ""), lambda x: x != ""), ", ")
+
+
+# The texts of diagnostics, here and above, are fixed values.
 #: Rules that one scan of fn answers together.
 FN_RULES: dict[str, FnRule] = {
     "stub_macro": FnRule(True, lambda: F.expr("has_body AND is_stub"), lambda: F.lit("stub: todo!()/unimplemented!()")),
-    "empty_fn": FnRule(True, lambda: F.expr("has_body AND NOT is_stub AND (is_empty OR only_asserts)"), lambda: F.when(F.col("is_empty"), "empty function body").otherwise("function body contains only debug_assert!")),
-    "missing_allow": FnRule(True, lambda: F.expr("suffix <> '' AND NOT allows_non_snake_case"), lambda: F.lit("uppercase suffix without #[allow(non_snake_case)]")),
-    "non_rvs_fn": FnRule(False, lambda: F.col("mask").isNull() & ~F.col("is_test") & ~F.col("name").isin(UNPREFIXED) & ((F.col("kind") == "free") | _is_inherent()) & F.col("name").rlike("^[a-z]"), lambda: _text("'", F.col("name"), "' missing rvs_ prefix")),
+    "empty_fn": FnRule(
+        True,
+        lambda: F.expr("has_body AND NOT is_stub AND (is_empty OR only_asserts)"),
+        lambda: F.when(F.col("is_empty"), "empty function body").otherwise("function body contains only debug_assert!"),
+    ),
+    "missing_allow": FnRule(
+        True,
+        lambda: F.expr("suffix <> '' AND NOT allows_non_snake_case"),
+        lambda: F.lit("uppercase suffix without #[allow(non_snake_case)]"),
+    ),
+    "non_rvs_fn": FnRule(False, _is_unprefixed, lambda: _text("'", F.col("name"), "' missing rvs_ prefix")),
     "missing_mutable": _lacks("has_mut_param", "M", "&mut param but suffix lacks M"),
     "missing_async": _lacks("is_async", "A", "async but suffix lacks A"),
     "missing_unsafe": _lacks("is_unsafe_fn", "U", "unsafe code but suffix lacks U"),
     "non_alphabetical_suffix": FnRule(True, lambda: F.col("suffix") != caps.sorted_letters("suffix"), lambda: F.lit("suffix not alphabetical")),
     "duplicate_suffix": FnRule(True, lambda: caps.first_repeated("suffix").isNotNull(), lambda: _text("duplicate '", caps.first_repeated("suffix"), "'")),
-    "unknown_suffix_letter": FnRule(True, lambda: caps.unknown_letters("name") != "", lambda: _text("unknown letters: ", F.array_join(F.filter(F.split(caps.unknown_letters("name"), ""), lambda x: x != ""), ", "))),
+    "unknown_suffix_letter": FnRule(True, lambda: caps.unknown_letters("name") != "", lambda: _text("unknown letters: ", _unknown_letters())),
     "dead_code": FnRule(True, lambda: _has_name("allows", "dead_code", "unused"), lambda: F.lit("rvs_ function marked #[allow(dead_code/unused)]")),
-    "test_name_format": FnRule(False, lambda: F.col("is_test") & ~caps.is_test_name("name"), lambda: _text("test '", F.col("name"), "' not test_YYYYMMDD_name")),
-    "missing_doc": FnRule(False, lambda: F.col("is_pub") & F.col("name").startswith("rvs_") & ~F.col("is_test") & F.col("doc").isNull() & ((F.col("kind") == "free") | _is_inherent()), lambda: _text("pub fn '", F.col("name"), "' missing /// doc comment")),
+    "test_name_format": FnRule(
+        False,
+        lambda: F.col("is_test") & ~caps.is_test_name("name"),
+        lambda: _text("test '", F.col("name"), "' not test_YYYYMMDD_name"),
+    ),
+    "missing_doc": FnRule(False, _lacks_doc, lambda: _text("pub fn '", F.col("name"), "' missing /// doc comment")),
     "missing_safety_doc": FnRule(False, _lacks_safety_doc, lambda: F.lit("unsafe fn missing /// # Safety")),
     "validate_returns_unit": FnRule(True, _validates, lambda: _text(F.col("name"), ": validate returning Result<(),E> — use TryFrom returning Result<T,E>")),
     "todo_comment": FnRule(False, _has_todo, lambda: F.lit("TODO/FIXME comment found")),

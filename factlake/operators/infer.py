@@ -82,7 +82,8 @@ def infer(fn: DataFrame, edge: DataFrame, seed: DataFrame, max_rounds: int | Non
     become one, and the older ones go.
     """
     fn = fn.join(seed.select(F.col("key").alias("def_path"), F.col("mask").alias("seeded")), "def_path", "left")
-    own = fn.select("def_path", F.coalesce("seeded", caps.signature_mask()).alias("mask"), (F.col("seeded").isNotNull() | F.col("is_port_method")).alias("frozen"))
+    frozen = F.col("seeded").isNotNull() | F.col("is_port_method")
+    own = fn.select("def_path", F.coalesce("seeded", caps.signature_mask()).alias("mask"), frozen.alias("frozen"))
     edge = edge.select("caller", "callee").distinct()
     outside = edge.select(F.col("callee").alias("def_path")).distinct().join(own, "def_path", "left_anti")
     outside = outside.join(seed.select(F.col("key").alias("def_path"), "mask"), "def_path").withColumn("frozen", F.lit(True))
@@ -91,7 +92,8 @@ def infer(fn: DataFrame, edge: DataFrame, seed: DataFrame, max_rounds: int | Non
     active = state.where("NOT frozen").select(F.col("def_path").alias("caller"))
     edge = edge.join(active, "caller", "left_semi")
     keys = state.select(F.col("def_path").alias("callee"), F.lit(True).alias("known"))
-    resolved = edge.join(keys, "callee", "left").select("caller", "callee", F.coalesce("known", F.lit(False)).alias("known"), group_of_callee("callee").alias("group_key"))
+    known = F.coalesce("known", F.lit(False)).alias("known")
+    resolved = edge.join(keys, "callee", "left").select("caller", "callee", known, group_of_callee("callee").alias("group_key"))
     resolved = settled(resolved, "edges")
     direct = resolved.where("known").select("caller", F.col("callee").alias("def_path"))
     members = impl_index(fn)

@@ -30,7 +30,8 @@ def annotate_plan(fn: DataFrame, masks: DataFrame, crate: str) -> DataFrame:
 
 def strip_plan(site: DataFrame) -> DataFrame:
     """(old_name, new_name) of sites (name, ...): prefixed names without prefix and suffix, where that changes them."""
-    return site.select(F.col("name").alias("old_name"), caps.base_name("name").alias("new_name")).where("new_name IS NOT NULL AND new_name <> old_name").distinct()
+    names = site.select(F.col("name").alias("old_name"), caps.base_name("name").alias("new_name"))
+    return names.where("new_name IS NOT NULL AND new_name <> old_name").distinct()
 
 
 def eligible_sites(site: DataFrame) -> DataFrame:
@@ -80,7 +81,8 @@ def apply_edits(source: DataFrame, edit: DataFrame) -> DataFrame:
             out.append(text[:begin] + "".join(reversed(after)))
         return pd.DataFrame({"file": texts["file"], "text": out})
 
-    return source.select("file", "text").groupBy("file").cogroup(edit.select("file", "start", "end", "insert").groupBy("file")).applyInPandas(run, "file string, text string")
+    edits = edit.select("file", "start", "end", "insert").groupBy("file")
+    return source.select("file", "text").groupBy("file").cogroup(edits).applyInPandas(run, "file string, text string")
 
 
 def wanted_lints(wanted: DataFrame, existing: DataFrame) -> DataFrame:

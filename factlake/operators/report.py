@@ -20,23 +20,34 @@ def report(entries: DataFrame) -> DataFrame:
     own = entries.where("NOT is_test AND NOT allows_dead_code")
     levels = [("(ok)", caps.is_subset("mask", caps.OK)), ("(good)", caps.is_subset("mask", caps.GOOD)), ("(pure)", F.col("mask") == 0)]
     rows = [(label, test, True) for label, test in levels] + [(f"{x}({d})", caps.contains("mask", x), False) for x, d in caps.CAPABILITIES]
-    sums = [F.struct(F.lit(label).alias("label"), F.count_if(test).alias("fn_count"), F.coalesce(F.sum(F.when(test, F.col("lines"))), F.lit(0)).cast("long").alias("line_count"), F.lit(always).alias("always"), F.lit(k).alias("ord")) for k, (label, test, always) in enumerate(rows)]
+
+    def summed(k: int, label: str, test, always: bool):
+        lines = F.coalesce(F.sum(F.when(test, F.col("lines"))), F.lit(0)).cast("long")
+        columns = {"label": F.lit(label), "fn_count": F.count_if(test), "line_count": lines, "always": F.lit(always), "ord": F.lit(k)}
+        return F.struct(*(x.alias(name) for name, x in columns.items()))
+
+    sums = [summed(k, *row) for k, row in enumerate(rows)]
     one = own.agg(F.coalesce(F.sum("lines"), F.lit(0)).cast("long").alias("total"), F.array(*sums).alias("rows"))
     out = one.select("total", F.inline("rows")).where("total > 0 AND (always OR fn_count > 0)")
     share = F.col("line_count") / F.col("total")
     place = F.row_number().over(Window.orderBy(F.desc("line_count"), "ord"))  # eleven rows at most
-    return out.select("label", "fn_count", "line_count", F.round(share * 1000).cast("long").alias("pct"), F.least(F.greatest(F.round(share * WIDTH), F.lit(0)), F.lit(WIDTH)).cast("int").alias("bar_len"), place.alias("position"))
+    bar = F.least(F.greatest(F.round(share * WIDTH), F.lit(0)), F.lit(WIDTH)).cast("int")
+    percent = F.round(share * 1000).cast("long")
+    return out.select("label", "fn_count", "line_count", percent.alias("pct"), bar.alias("bar_len"), place.alias("position"))
 
 
 def totals(entries: DataFrame) -> DataFrame:
     """(fn_count, line_count) of what the report covers."""
-    return entries.where("NOT is_test AND NOT allows_dead_code").agg(F.count("*").alias("fn_count"), F.coalesce(F.sum("lines"), F.lit(0)).cast("long").alias("line_count"))
+    lines = F.coalesce(F.sum("lines"), F.lit(0)).cast("long")
+    return entries.where("NOT is_test AND NOT allows_dead_code").agg(F.count("*").alias("fn_count"), lines.alias("line_count"))
 
 
 def report_text(entries: DataFrame) -> DataFrame:
     """(position, line): the report as text."""
     rule = F.repeat(F.lit("-"), 60)
-    head = totals(entries).select(F.posexplode(F.array(F.lit("Capability Report"), rule, F.concat(F.lit("Total: "), F.col("fn_count").cast("string"), F.lit(" functions, "), F.col("line_count").cast("string"), F.lit(" lines")), rule, F.when(F.col("line_count") == 0, F.lit("(no rvs_ functions found)")))).alias("position", "line"))
+    total = F.format_string("Total: %d functions, %d lines", "fn_count", "line_count")
+    nothing = F.when(F.col("line_count") == 0, F.lit("(no rvs_ functions found)"))
+    head = totals(entries).select(F.posexplode(F.array(F.lit("Capability Report"), rule, total, rule, nothing)).alias("position", "line"))
     bar = F.concat(F.repeat(F.lit("█"), F.col("bar_len")), F.repeat(F.lit("░"), WIDTH - F.col("bar_len")))
     percent = F.format_string("%d.%d", (F.col("pct") / 10).cast("long"), F.col("pct") % 10)
     line = F.concat(F.format_string("  %-12s %5d fns %6d lines %6s", "label", "fn_count", "line_count", percent), F.lit("% |"), bar, F.lit("|"))
@@ -46,4 +57,6 @@ def report_text(entries: DataFrame) -> DataFrame:
 def fn_entries(fn: DataFrame) -> DataFrame:
     """Report entries of facts (name, body_snippet, is_test, allows, ...): prefixed functions only."""
     dead = F.coalesce(F.arrays_overlap(F.split("allows", ","), F.array(F.lit("dead_code"), F.lit("unused"))), F.lit(False))
-    return fn.withColumn("mask", caps.parsed_mask("name")).where("mask IS NOT NULL").select("name", "mask", caps.letters("mask").alias("caps"), caps.effective_lines("body_snippet").alias("lines"), "is_test", dead.alias("allows_dead_code"))
+    own = fn.withColumn("mask", caps.parsed_mask("name")).where("mask IS NOT NULL")
+    letters, lines = caps.letters("mask").alias("caps"), caps.effective_lines("body_snippet").alias("lines")
+    return own.select("name", "mask", letters, lines, "is_test", dead.alias("allows_dead_code"))

@@ -30,7 +30,8 @@ def parsed(lines: DataFrame) -> DataFrame:
     value = _stripped(F.substring_index(F.substring(F.col("_text"), at + 1, F.length("_text")), "#", 1))
     key = _stripped(F.substring(F.col("_text"), F.lit(1), at - 1))
     rows = rows.withColumn("key", F.when(at > 0, key)).withColumn("caps_text", F.when(at > 0, value))
-    error = F.when(at == 0, F.concat(F.lit("missing = in: "), "_text")).when(~caps.is_valid("caps_text"), F.concat(F.lit("invalid capability in: "), "caps_text"))
+    no_sign, invalid = F.concat(F.lit("missing = in: "), "_text"), F.concat(F.lit("invalid capability in: "), "caps_text")
+    error = F.when(at == 0, no_sign).when(~caps.is_valid("caps_text"), invalid)
     return rows.withColumn("error", error).withColumn("mask", F.when(F.col("error").isNull(), caps.parse_letters("caps_text"))).drop("_text", "text")
 
 
@@ -100,7 +101,8 @@ def excluding(entries: DataFrame, layers: list[str]) -> DataFrame:
 def formatted(masks: DataFrame) -> DataFrame:
     """(line) of (key, mask): key=LETTERS # names; sorted by line when written."""
     mask = F.col("mask")
-    return masks.select(F.concat("key", F.lit("="), F.when(mask == 0, "").otherwise(F.concat(caps.letters(mask), F.lit(" # "), caps.names(mask)))).alias("line"))
+    value = F.when(mask == 0, "").otherwise(F.concat(caps.letters(mask), F.lit(" # "), caps.names(mask)))
+    return masks.select(F.concat("key", F.lit("="), value).alias("line"))
 
 
 def write(masks: DataFrame, path: str) -> None:

@@ -19,7 +19,8 @@ _ENTRY = "name STRING, caps STRING, lines BIGINT, is_test BOOLEAN, allows_dead_c
 def _callgraph(spark: SparkSession, path: str) -> DataFrame:
     """(file, def_path, f, problem) of the functions in the files at path, a file one task each; a file that is no object has one
     row with a problem."""
-    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(F.input_file_name().alias("file"), F.from_json("value", f"MAP<STRING, STRUCT<{_BEHAVIOR}>>").alias("m"))
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
+    files = files.select(F.input_file_name().alias("file"), F.from_json("value", f"MAP<STRING, STRUCT<{_BEHAVIOR}>>").alias("m"))
     rows = files.select("file", F.posexplode_outer("m").alias("pos", "def_path", "f"), F.col("m").isNull().alias("broken"))
     rows = rows.where("broken OR def_path IS NOT NULL").groupBy("file", "def_path", "broken").agg(F.max_by("f", "pos").alias("f"))
     lacks = F.col("f.calls").isNull()
@@ -35,7 +36,8 @@ def read_callgraph(spark: SparkSession, path: str) -> DataFrame:
     rows = _callgraph(spark, path)
     stop = F.raise_error(F.col("problem")).cast("array<string>")
     rows = rows.withColumn("calls", F.when(F.col("problem").isNotNull(), stop).otherwise(F.col("f.calls")))
-    return rows.select("file", "def_path", "calls", *(F.col(f"f.{x}") for x in REQUIRED), *(F.coalesce(F.col(f"f.{x}"), F.lit(False)).alias(x) for x in OPTIONAL))
+    optional = (F.coalesce(F.col(f"f.{x}"), F.lit(False)).alias(x) for x in OPTIONAL)
+    return rows.select("file", "def_path", "calls", *(F.col(f"f.{x}") for x in REQUIRED), *optional)
 
 
 def merged(graph: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -222,8 +222,9 @@ class _Scan:
                 i += 1
             t = s.t(i)
             if t == "fn":
-                own = {"is_pub": pub, "is_async": "async" in words, "is_unsafe_fn": "unsafe" in words, "is_test": "test" in names, "is_trait_impl": trait is not None, "is_port_method": port}
-                own |= {"allows": ",".join(listed) or None, "allows_non_snake_case": allows or "non_snake_case" in listed, "doc": s.docs(s.tokens[start][1], last)}
+                own = {"is_pub": pub, "is_async": "async" in words, "is_unsafe_fn": "unsafe" in words, "is_test": "test" in names}
+                own |= {"is_trait_impl": trait is not None, "is_port_method": port, "allows": ",".join(listed) or None}
+                own |= {"allows_non_snake_case": allows or "non_snake_case" in listed, "doc": s.docs(s.tokens[start][1], last)}
                 i = self.function(i, start, stop, kind, scope, trait, own)
             elif t == "use":
                 semi = next((k for k in range(i, stop) if s.t(k) == ";"), stop)
@@ -332,12 +333,12 @@ class _Scan:
         macros = {inside[j] for j in range(len(inside) - 1) if inside[j + 1] == "!"}
         end = s.end(body_end) if has_body else s.end(min(b, len(s.tokens) - 1))
         statements = [x for x in re.split(r";", "".join(x + " " for x in inside)) if x.strip()]
+        asserts = bool(statements) and all(x.split()[0].startswith("debug_assert") for x in statements)
         own |= self._returned(close + 1, b)
-        self._add(
-            "fn", start, path=path, name=name, kind="trait_required" if kind == "trait_provided" and not has_body else kind, has_mut_param=has_mut, has_body=has_body,
-            is_stub=bool({"todo", "unimplemented"} & macros), is_empty=has_body and not inside, only_asserts=bool(statements) and all(x.split()[0].startswith("debug_assert") for x in statements),
-            snippet=s.text[s.tokens[start][1] : end], body_snippet=s.text[s.tokens[b][1] : end] if has_body else None, start=s.tokens[i + 1][1] if i + 1 < len(s.tokens) else 0, **own,
-        )
+        own |= {"kind": "trait_required" if kind == "trait_provided" and not has_body else kind, "has_mut_param": has_mut, "has_body": has_body}
+        own |= {"is_stub": bool({"todo", "unimplemented"} & macros), "is_empty": has_body and not inside, "only_asserts": asserts}
+        own |= {"snippet": s.text[s.tokens[start][1] : end], "body_snippet": s.text[s.tokens[b][1] : end] if has_body else None}
+        self._add("fn", start, path=path, name=name, start=s.tokens[i + 1][1] if i + 1 < len(s.tokens) else 0, **own)
         for a, e in params:
             colon = next((j for j in range(a, e) if s.t(j) == ":"), None)
             if colon is not None and colon + 1 < e and "self" not in (s.t(j) for j in range(a, colon)):
@@ -431,7 +432,8 @@ def rewrite(source: DataFrame, plan: DataFrame) -> DataFrame:
 
 def _identifiers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        rows = [(f, at, at + len(w), w) for f, t in zip(b.column("file").to_pylist(), b.column("text").to_pylist(), strict=True) for w, at in _Source(t or "").tokens if w.isidentifier()]
+        files = zip(b.column("file").to_pylist(), b.column("text").to_pylist(), strict=True)
+        rows = [(f, at, at + len(w), w) for f, t in files for w, at in _Source(t or "").tokens if w.isidentifier()]
         cols = list(zip(*rows, strict=True)) or [(), (), (), ()]
         kinds = (pa.string(), pa.int32(), pa.int32(), pa.string())
         yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(cols, kinds, strict=True)], ["file", "start", "end", "old_name"])
@@ -467,7 +469,8 @@ def as_facts(extracted: DataFrame, crate: str, caps: DataFrame | None = None, sn
     prefixed = (F.col("site_kind") == "call") & F.col("called").startswith("rvs_")
     path = F.coalesce("only", F.when(prefixed, F.col("src_path")))
     call = call.where("site_kind <> 'addr_of' OR only IS NOT NULL")
-    call = call.select("caller", "site_kind", F.when(path.isNotNull(), "Fn").alias("res_kind"), path.alias("callee_def_path"), "src_path", "method_ident", "lo_line", "lo_col")
+    kind = F.when(path.isNotNull(), "Fn").alias("res_kind")
+    call = call.select("caller", "site_kind", kind, path.alias("callee_def_path"), "src_path", "method_ident", "lo_line", "lo_col")
     statics = names["static_item"].groupBy("name").agg(F.bool_or("is_mut").alias("is_mut"), F.bool_or("is_thread_local").alias("is_thread_local"))
     refs = names["body_ident"].withColumn("fn", whole("fn")).join(statics, F.col("ident") == F.col("name"))
     tables = {k: names[k] for k in ("use_item", "type_item", "field", "variant", "impl_item")}
@@ -486,8 +489,10 @@ def as_facts(extracted: DataFrame, crate: str, caps: DataFrame | None = None, sn
 
 def call_graph(facts) -> tuple[DataFrame, DataFrame]:
     """fn (def_path, the flags of operators.infer) and edge (caller, callee) of as_facts' tables, for inference."""
-    refs = facts.static_ref.groupBy(F.col("fn").alias("def_path")).agg(F.bool_or(~F.col("is_mut")).alias("_static"), F.bool_or("is_mut").alias("_mut"), F.bool_or("is_thread_local").alias("_local"))
-    fn = facts.fn.groupBy("def_path").agg(*(F.bool_or(x).alias(y) for x, y in {"is_async": "has_async", "is_unsafe_fn": "is_unsafe_fn", "has_mut_param": "has_mut_param", "is_port_method": "is_port_method", "is_trait_impl": "is_trait_impl", "is_test": "is_test"}.items()))
+    touched = {"_static": ~F.col("is_mut"), "_mut": F.col("is_mut"), "_local": F.col("is_thread_local")}
+    refs = facts.static_ref.groupBy(F.col("fn").alias("def_path")).agg(*(F.bool_or(x).alias(y) for y, x in touched.items()))
+    own = {"has_async": "is_async"} | {x: x for x in ("is_unsafe_fn", "has_mut_param", "is_port_method", "is_trait_impl", "is_test")}
+    fn = facts.fn.groupBy("def_path").agg(*(F.bool_or(x).alias(y) for y, x in own.items()))
     flags = {"_static": "has_static_ref", "_mut": "has_static_mut_ref", "_local": "has_thread_local_ref"}
     fn = fn.join(refs, "def_path", "left").select(*fn.columns, *(F.coalesce(x, F.lit(False)).alias(y) for x, y in flags.items()))
     edge = facts.call.where("callee_def_path IS NOT NULL").select("caller", F.col("callee_def_path").alias("callee")).distinct()
