@@ -14,7 +14,13 @@ Buckets never become all pairs. First each member is compared with its bucket's
 members of a bucket whose classes still differ are ordered by further samples, so that the more samples two texts share the
 nearer they stand, and a member is compared with its neighbour where the two are of different classes. A round has at most
 one pair for each member of a bucket, of buckets of any size, and orders are sorted over all tasks, so that a bucket of
-any size is split. There are ROUNDS rounds, each with orders of its own; like BANDS, more of them find more, at any size.
+any size is split. There are ROUNDS rounds, each with orders of its own; they only leave less to the last step.
+
+That step compares all pairs which the rounds have left: two members of a bucket, neither of them its least, whose classes
+still differ. Buckets are cut into blocks, and a task gets two blocks and the overlaps of all their texts as products
+of matrices, so that pairs never are rows; two blocks of one same class are left out. So no two texts of a bucket whose
+similarity reaches the threshold end in two classes, whatever ROUNDS, DEPTH and BLOCK are. Time here grows with the
+square of the members of those buckets whose texts are near and yet under the threshold.
 
 Every link was verified on the whole texts. Copies are collapsed first and never expanded. Null, empty and wordless texts
 are alone in their class. Very long texts are read whole, a batch of them at a time. Equal rows are one class like any
@@ -40,6 +46,8 @@ BANDS, ROWS = 24, 6
 SAMPLES = BANDS * ROWS
 #: Further samples by which the members of a bucket are ordered, and rounds of comparing neighbours.
 DEPTH, ROUNDS = 16, 2
+#: Most texts and bytes of a block of a bucket (a longer text is a block), and columns of its matrices.
+BLOCK, BLOCK_BYTES, COLUMNS = 1024, 1 << 21, 1024
 #: log2 of the number of hashed counters that preselect frequent shingles, and their parts in the merge.
 COUNTERS, PARTS = 20, 16
 FLOOR, RARE = 0.75, 1 / 256
@@ -344,6 +352,150 @@ def _places(members: DataFrame, turn: int) -> DataFrame:
     return c.map_rows(members.select("node", "bands", "sketch", "comp"), place, "band long, place binary, node binary, comp binary")
 
 
+def overlaps(texts: list[bytes], left: np.ndarray, right: np.ndarray, weights: Weights, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Weight that texts left and texts right have in common (left x right; not that of a text with itself), and the weight of each text.
+
+    The weight of a shingle is its count times a factor, so a shingle that stands k times is k columns of that factor, and the
+    common weight a product of matrices of zeros and ones. Columns of many texts are multiplied, the others counted.
+    """
+    cells = [(start, *document_shingles(part, n)) for start, part in c.chunks(texts)]
+    doc = np.concatenate([start + d for start, d, _, _ in cells])
+    shingle, tf = (np.concatenate([x[k] for x in cells]) for k in (2, 3))
+    weight = weights.of(shingle, np.ones(len(shingle)))
+    total = np.bincount(doc, weight * tf, len(texts))
+    common = np.zeros((len(left), len(right)))
+    _, column, seen = np.unique(shingle, return_inverse=True, return_counts=True)
+    keep = np.flatnonzero(seen[column] > 1)
+    doc, column, tf, weight = doc[keep], column[keep], tf[keep], weight[keep]
+    if not len(doc):
+        return common, total
+    time = np.arange(tf.sum()) - np.repeat(np.cumsum(tf) - tf, tf)
+    doc, weight = np.repeat(doc, tf), np.repeat(weight, tf)
+    _, column = np.unique(np.repeat(column, tf) * tf.max() + time, return_inverse=True)
+    sides = []
+    for side in (left, right):
+        place = np.full(len(texts), -1)
+        place[side] = np.arange(len(side))
+        own = np.flatnonzero(place[doc] >= 0)
+        own = own[np.argsort(column[own], kind="stable")]
+        sides.append((place[doc[own]], column[own], weight[own]))
+    n_columns = column.max() + 1
+    counts = [np.bincount(x[1], minlength=n_columns) for x in sides]
+    many = counts[0] * counts[1] * 64 >= common.size
+    (row_a, column_a, _), (row_b, column_b, weight_b) = sides
+    number = np.cumsum(many) - 1
+    dense = [np.flatnonzero(many[x[1]]) for x in sides]
+    for at in range(0, int(many.sum()), COLUMNS):
+        width = min(COLUMNS, int(many.sum()) - at)
+        a, b = np.zeros((len(left), width)), np.zeros((len(right), width))
+        for x, row, col, own, value in ((a, row_a, column_a, dense[0], 1.0), (b, row_b, column_b, dense[1], weight_b)):
+            i, j = np.searchsorted(number[col[own]], [at, at + width])
+            own = own[i:j]
+            x[row[own], number[col[own]] - at] = value if np.isscalar(value) else value[own]
+        common += a @ b.T
+    few = np.flatnonzero(~many[column_a] & (counts[1][column_a] > 0))
+    first = np.cumsum(counts[1]) - counts[1]
+    size = counts[1][column_a[few]]
+    ends = np.cumsum(size)
+    start = 0
+    while start < len(few):
+        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + (1 << 20), "right")))
+        own, k = few[start:stop], size[start:stop]
+        other = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k) + np.repeat(first[column_a[own]], k)
+        np.add.at(common.reshape(-1), np.repeat(row_a[own], k) * len(right) + row_b[other], weight_b[other])
+        start = stop
+    return common, total
+
+
+def cell_links(texts: list[bytes], comps: list[bytes], second: np.ndarray, weights: Weights, n: int, threshold: float) -> list[tuple[bytes, bytes]]:
+    """Links that join all classes (comps) with a similar pair: of all texts, or where some are of a second block, of one of each."""
+    left, right = np.flatnonzero(~second), np.flatnonzero(second)
+    whole = not len(right)
+    right = left if whole else right
+    _, own = np.unique(np.array([x.hex() for x in comps]), return_inverse=True)
+    common, total = overlaps(texts, left, right, weights, n)
+    near = common >= (threshold - 1e-9) * (total[left][:, None] + total[right][None, :] - common)
+    near &= own[left][:, None] != own[right][None, :]
+    out, label = [], own.copy()
+    for i, j in zip(*np.nonzero(np.triu(near, 1) if whole else near), strict=True):
+        a, b = left[i], right[j]
+        if label[a] != label[b] and weighted_jaccard(texts[a], texts[b], weights, n) >= threshold:
+            out.append((comps[a], comps[b]))
+            label[label == label[b]] = label[a]
+    return out
+
+
+def blocks(rows: DataFrame) -> DataFrame:
+    """rows (band, comp, node, bytes) with a block for each: BLOCK rows or BLOCK_BYTES of a band at most, in the order of comps.
+
+    The order is dealt by ranges of all its columns, so that a band of any size is split.
+    """
+    order = ["band", "comp", "node"]
+    dealt = rows.repartitionByRange(c.partitions(rows.sparkSession), *order).sortWithinPartitions(*order)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, last, n, size = TaskContext.get().partitionId() << 36, None, 0, 0
+        for b in batches:
+            out = []
+            for band, more in zip(b.column("band").to_pylist(), b.column("bytes").to_pylist(), strict=True):
+                if band != last or n == BLOCK or size + more > BLOCK_BYTES:
+                    block, last, n, size = block + 1, band, 0, 0
+                n, size = n + 1, size + more
+                out.append(block)
+            yield pa.RecordBatch.from_arrays([b.column("band"), b.column("comp"), b.column("node"), pa.array(out, pa.int64())], ["band", "comp", "node", "block"])
+
+    return c.scratch(dealt.mapInArrow(cut, "band long, comp binary, node binary, block long"), "blocks")
+
+
+def rest_links(shared_rows: DataFrame, labels: DataFrame, tried: DataFrame, texts: DataFrame, weigher: Weigher, threshold: float) -> DataFrame:
+    """Links (comp_a, comp_b) that join all classes of labels with a similar pair in a bucket of shared_rows (band, node, lead).
+
+    All pairs with a lead were tried, and so was the pair of a bucket with two others if it is in tried. Buckets with the same
+    members are compared once.
+    """
+    read, n, notes = weigher.reader(), weigher.n, weigher.columns
+    members = shared_rows.where("node <> lead").select("band", "node").join(labels.hint("merge"), "node")
+    kept = [F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n"), F.min("node").alias("a"), F.max("node").alias("b")]
+    sets = [F.bit_xor(F.xxhash64("node")).alias("h"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("g")]
+    mixed = members.groupBy("band").agg(*kept, *sets).where("lo <> hi").groupBy("n", "h", "g", "a", "b").agg(F.min("band").alias("band"))
+    pairs = mixed.where("n = 2").join(tried.hint("merge"), ["a", "b"], "left_anti").select("band")
+    mixed = mixed.where("n > 2").select("band").union(pairs)
+    members = members.join(mixed.hint("merge"), "band").join(texts.select("node", F.octet_length("text").alias("bytes")).hint("merge"), "node")
+    dealt = blocks(members)
+    seen = c.scratch(dealt.groupBy("band", "block").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")), "ends")
+    x, y = (seen.select("band", F.col("block").alias(k), F.col("lo").alias(f"lo_{k}"), F.col("hi").alias(f"hi_{k}")) for k in "xy")
+    cells = x.join(y, "band").where("x <= y AND NOT (lo_x = hi_x AND lo_y = hi_y AND lo_x = lo_y)").select("x", "y")
+    cells = c.scratch(cells, "cells")
+    sides = cells.select("x", "y", F.explode(F.array_distinct(F.array("x", "y"))).alias("block"))
+    rows = sides.join(dealt.select("block", "comp", "node").hint("merge"), "block")
+    rows = rows.join(texts.select("node", "text", *notes).hint("merge"), "node").select("x", "y", "block", "comp", "text", *notes)
+    rows = rows.repartition(c.partitions(rows.sparkSession), "x", "y").sortWithinPartitions("x", "y")
+
+    def linked(own: list[pa.RecordBatch]) -> pa.RecordBatch:
+        cell = pa.Table.from_batches(own).combine_chunks().to_batches()[0]
+        second = cell.column("block").to_numpy() != cell.column("x")[0].as_py()
+        out = cell_links([t or b"" for t in _texts(cell)], cell.column("comp").to_pylist(), second, read(cell), n, threshold)
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.binary()) for k in (0, 1)], ["comp_a", "comp_b"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, last = [], None
+        for b in batches:
+            x, y = (b.column(k).to_numpy() for k in "xy")
+            cuts = [0, *(np.flatnonzero((x[1:] != x[:-1]) | (y[1:] != y[:-1])) + 1).tolist(), b.num_rows]
+            for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+                if j > i and last not in (None, (x[i], y[i])):
+                    yield linked(own)
+                    own = []
+                if j > i:
+                    own.append(b.slice(i, j - i))
+                    last = (x[i], y[i])
+        if own:
+            yield linked(own)
+
+    c.bound_batches(rows.sparkSession)
+    return rows.mapInArrow(compare, "comp_a binary, comp_b binary")
+
+
 def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
     """labels (node, comp) after links (comp_a, comp_b)."""
     new = components(links.select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b"))).select(F.col("node").alias("comp"), F.col("comp").alias("new"))
@@ -408,6 +560,9 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, threshold: float =
         next_ = next_.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.comp").alias("comp_a"), F.col("y.comp").alias("comp_b"))
         pairs = next_.distinct().join(tried, ["a", "b"], "left_anti")
         tried = tried.union(next_.select("a", "b"))
+    links, n = c.counted(rest_links(shared_rows, labels, tried, texts, weigher, threshold), "links")
+    if n:
+        labels = _relabelled(labels, links)
 
     known = nodes.select("node").join(labels.hint("merge"), "node", "left").select("node", F.coalesce("comp", "node").alias("comp"))
     known = c.scratch(known, "components")  # so that Spark may split a text that very many rows have

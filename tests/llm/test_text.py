@@ -175,6 +175,44 @@ def test_verified_pairs_grow_with_the_group(spark, monkeypatch):
     assert seen[2] < 2.6 * seen[1] and seen[1] < 2.6 * seen[0] and seen[2] < 400 * 2 * near_dedup.BANDS
 
 
+@pytest.mark.parametrize("columns", [near_dedup.COLUMNS, 7])
+def test_overlaps_are_those_of_pairs(monkeypatch, columns):
+    monkeypatch.setattr(near_dedup, "COLUMNS", columns)
+    rng = random.Random(31)
+    base = sentence(rng, 60)
+    texts = [*(edited(rng, base, k) for k in range(9)), *repeating(rng, 5, 30, 20), *repeating(rng, 20, 3, 9), "a b", "a b", "", sentence(rng, 50)] * 2
+    texts += [sentence(rng, 20) for _ in range(60)]
+    part = [x.encode() for x in texts]
+    _, shingle, _ = near_dedup.document_shingles(part, 5)
+    keys = np.unique(shingle)[::2]
+    w = near_dedup.Weights(keys, np.linspace(0, 0.9, len(keys)), 1.0)
+    every = np.arange(len(part))
+    for left, right in ((every, every), (every[::3], every[1::3]), (every[:1], every[1:])):
+        both, total = near_dedup.overlaps(part, left, right, w, 5)
+        for i, a in enumerate(left):
+            for j, b in enumerate(right):
+                union = total[a] + total[b] - both[i, j]
+                assert a == b or abs((both[i, j] / union if union else 0) - near_dedup.weighted_jaccard(part[a], part[b], w, 5)) < 1e-12
+
+
+def close_texts():
+    """60 texts whose pairs lie about the threshold: which of them are linked decides the classes."""
+    rng = random.Random(1)
+    base = sentence(rng, 400)
+    return [edited(rng, base, 5) for _ in range(60)]
+
+
+@pytest.mark.parametrize(("rounds", "block", "bytes_"), [(2, 1024, 1 << 21), (0, 7, 1 << 21), (0, 1024, 3000)])
+def test_all_pairs_of_a_bucket_are_compared(spark, monkeypatch, rounds, block, bytes_):
+    """A bucket's links are all found, however few rounds there are and however its members are cut into blocks."""
+    texts = close_texts()
+    for name, value in (("ROUNDS", rounds), ("BLOCK", block), ("BLOCK_BYTES", bytes_)):
+        monkeypatch.setattr(near_dedup, name, value)
+    want = dict(enumerate(plain_classes(texts)))
+    assert len(set(want.values())) == 15
+    assert {r.doc_id: r.class_id for r in near_dedup.near_duplicates(documents(spark, texts)).collect()} == want
+
+
 def test_neighbours_over_tasks(spark):
     rng = random.Random(16)
     rows = [(rng.randrange(3), bytes([rng.randrange(4)]), f"n{i:03d}".encode(), bytes([65 + rng.randrange(2)])) for i in range(150)]
