@@ -7,7 +7,7 @@ import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
-from test_text import edited, plain_classes, plain_contamination, plain_grams, plain_maximal_runs
+from test_text import close_texts, edited, plain_classes, plain_contamination, plain_grams, plain_maximal_runs
 from tokenizers import Tokenizer
 
 import __spark_entry__
@@ -35,6 +35,12 @@ def test_stages(spark, sf_dir):
     assert ids(docs) == ids(kept["decontaminate"][1])
 
 
+def test_near_dedup_stage_keeps_one_of_each_class(spark):
+    texts = close_texts()
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars int")
+    assert {r.doc_id for r in corpus_pipeline.dedup_near(spark, docs, "").collect()} == set(plain_classes(texts))
+
+
 def test_registered():
     names = set(__spark_entry__.queries())
     assert names >= set(queries.queries()) | {"pipeline"} and sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 11))
