@@ -22,6 +22,12 @@ of matrices, so that pairs never are rows; two blocks of one same class are left
 similarity reaches the threshold end in two classes, whatever ROUNDS, DEPTH and BLOCK are. Time here grows with the
 square of the members of those buckets whose texts are near and yet under the threshold.
 
+Samples may miss a pair, so a last pass takes the rest exactly, by prefixes: shingles have one order, rare ones first, and
+the keys of a text are its first shingles, until what is left weighs less than the threshold's share of the text. Two
+similar texts have a key in common. Where texts of two classes have one, the weight of all their common keys and of what
+is left bounds what they may share, and pairs that may reach the threshold are verified. A key of more than GROUP texts
+is compared like a bucket. So no two similar texts end in two classes.
+
 Every link was verified on the whole texts. Copies are collapsed first and never expanded. Null, empty and wordless texts
 are alone in their class. Very long texts are read whole, a batch of them at a time. Equal rows are one class like any
 copies.
@@ -35,7 +41,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -48,6 +54,8 @@ SAMPLES = BANDS * ROWS
 DEPTH, ROUNDS = 16, 2
 #: Most texts and bytes of a block of a bucket (a longer text is a block), and columns of its matrices.
 BLOCK, BLOCK_BYTES, COLUMNS = 1024, 1 << 21, 1024
+#: Most texts of a key whose pairs are rows; the texts of other keys are compared in blocks.
+GROUP = 64
 #: log2 of the number of hashed counters that preselect frequent shingles, and their parts in the merge.
 COUNTERS, PARTS = 20, 16
 FLOOR, RARE = 0.75, 1 / 256
@@ -124,8 +132,9 @@ def _texts(batch: pa.RecordBatch) -> list[bytes | None]:
     return batch.column("text").cast(pa.large_binary()).to_pylist()
 
 
-def shingle_frequencies(docs: DataFrame, n: int) -> tuple[DataFrame, int, int]:
-    """(shingle, df) of all frequent shingles, exact, from two passes over all documents; how many they are, and how many these."""
+def shingle_frequencies(docs: DataFrame, n: int) -> tuple[DataFrame, int, int, np.ndarray]:
+    """(shingle, df) of all frequent shingles, exact, from two passes over all documents; how many they are, and how many these;
+    and a number for each hashed counter that grows with it, about 8 times its binary logarithm."""
     spark = docs.sparkSession
     text = docs.select("text")
     size = 1 << COUNTERS
@@ -170,7 +179,7 @@ def shingle_frequencies(docs: DataFrame, n: int) -> tuple[DataFrame, int, int]:
 
     df = c.map_rows(text, frequent, "shingle long, df long").groupBy("shingle").agg(F.sum("df").alias("df")).where(F.col("df") >= least)
     df, n = c.counted(df, "shingle-df")
-    return df, n, total
+    return df, n, total, np.minimum(255, 8 * np.log2(1.0 + counters.ravel())).astype(np.uint8)
 
 
 class Weigher:
@@ -178,7 +187,8 @@ class Weigher:
 
     def __init__(self, docs: DataFrame, n: int):
         spark = docs.sparkSession
-        df, rows, total = shingle_frequencies(docs, n)
+        df, rows, total, levels = shingle_frequencies(docs, n)
+        self.levels = spark.sparkContext.broadcast(levels)
         most = math.log(1 / RARE)
         self.n, self.rest = n, min(1.0, math.log(max(total, 1)) / most)
 
@@ -226,13 +236,17 @@ class Weigher:
 def sketches(part: list[bytes], weights: Weights, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Samples of each text (texts x SAMPLES) and whether it has words."""
     doc, shingle, tf = document_shingles(part, n)
-    out, some = np.zeros((len(part), SAMPLES), np.uint64), np.zeros(len(part), bool)
+    return samples(len(part), doc, shingle, weights.of(shingle, tf))
+
+
+def samples(n_texts: int, doc: np.ndarray, shingle: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same of texts whose shingles have these weights."""
+    out, some = np.zeros((n_texts, SAMPLES), np.uint64), np.zeros(n_texts, bool)
     if not len(doc):
         return out, some
     first = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
     own = doc[first]
     some[own] = True
-    weight = weights.of(shingle, tf)
     s = c.mix(shingle + np.uint64(0x51ED270B))
     low = s & np.uint64(0xFFFFFFFF)
     other = np.flatnonzero(weight != 1)
@@ -247,6 +261,24 @@ def sketches(part: list[bytes], weights: Weights, n: int) -> tuple[np.ndarray, n
     return c.mix(out), some
 
 
+def prefixes(n_texts: int, doc: np.ndarray, shingle: np.ndarray, weight: np.ndarray, levels: np.ndarray, threshold: float) -> tuple[np.ndarray, ...]:
+    """Keys of all texts, their weights, how many each text has, what a text weighs, and its shingles that are no keys.
+
+    Shingles of low levels come first, and the rest by a hash; a text's keys are those before which at most 1 - threshold
+    of its weight stands, so the others weigh less than any similar text has in common with it.
+    """
+    key = levels[(shingle & np.uint64(len(levels) - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(40)
+    key |= c.mix(shingle + np.uint64(0x2545F491)) >> np.uint64(24)
+    order = np.argsort(doc.astype(np.uint64) << np.uint64(48) | key)
+    key, weight = key[order], weight[order]  # texts stay where they were
+    total = np.bincount(doc, weight, n_texts)
+    before = np.cumsum(weight) - weight
+    before -= np.append(before, 0)[np.searchsorted(doc, np.arange(n_texts))][doc]
+    keep = before <= (1 - threshold + 1e-9) * total[doc]
+    key, weight, doc = key[keep].astype(np.int64), weight[keep], doc[keep]
+    return key, weight, np.bincount(doc, minlength=n_texts), total, np.maximum(total - np.bincount(doc, weight, n_texts), 0)
+
+
 def weighted_jaccard(a: bytes, b: bytes, weights: Weights, n: int) -> float:
     doc, shingle, tf = document_shingles([a, b], n)
     w = weights.of(shingle, tf)
@@ -450,11 +482,11 @@ def blocks(rows: DataFrame) -> DataFrame:
 def rest_links(shared_rows: DataFrame, labels: DataFrame, tried: DataFrame, texts: DataFrame, weigher: Weigher, threshold: float) -> DataFrame:
     """Links (comp_a, comp_b) that join all classes of labels with a similar pair in a bucket of shared_rows (band, node, lead).
 
-    All pairs with a lead were tried, and so was the pair of a bucket with two others if it is in tried. Buckets with the same
+    All pairs with a lead (which may be null) were tried, and so was the pair of a bucket with two others if it is in tried. Buckets with the same
     members are compared once.
     """
     read, n, notes = weigher.reader(), weigher.n, weigher.columns
-    members = shared_rows.where("node <> lead").select("band", "node").join(labels.hint("merge"), "node")
+    members = shared_rows.where("NOT node <=> lead").select("band", "node").join(labels.hint("merge"), "node")
     kept = [F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n"), F.min("node").alias("a"), F.max("node").alias("b")]
     sets = [F.bit_xor(F.xxhash64("node")).alias("h"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("g")]
     mixed = members.groupBy("band").agg(*kept, *sets).where("lo <> hi").groupBy("n", "h", "g", "a", "b").agg(F.min("band").alias("band"))
@@ -502,6 +534,36 @@ def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
     return c.scratch(labels.join(new.hint("merge"), "comp", "left").select("node", F.coalesce("new", "comp").alias("comp")), "labels")
 
 
+def common_keys(base: DataFrame, who: DataFrame) -> DataFrame:
+    """(key, share, uid, class, n) of keys that texts of several classes have: base (uid, keys, shares), who (uid, comp), and n, the
+    key's texts."""
+    classes = who.groupBy("comp").agg(F.min("uid").alias("class"))
+    own = who.select("uid", "comp").join(classes.hint("merge"), "comp").select("uid", "class")
+    rows = base.select("uid", "keys", "shares").join(own.hint("merge"), "uid")
+    rows = rows.select("uid", "class", F.explode(F.arrays_zip("keys", "shares")).alias("x")).select(F.col("x.keys").alias("key"), F.col("x.shares").alias("share"), "uid", "class")
+    key = Window.partitionBy("key")
+    seen = rows.withColumns({"n": F.count("*").over(key), "lo": F.min("class").over(key), "hi": F.max("class").over(key)})
+    return c.scratch(seen.where("lo <> hi").drop("lo", "hi"), "keys")
+
+
+def possible_pairs(keys: DataFrame, who: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b, comp_a, comp_b) of two classes that may reach the threshold, by all their common keys.
+
+    keys are those of common_keys, who has (uid, node, comp, weight, rest). A shingle that two texts share is a key of both or
+    stands behind the keys of one, so they share their common keys and no more than the larger rest.
+    """
+    x, y = (keys.select("key", F.col("uid").alias(k), F.col("class").alias(f"class_{k}"), F.col("share").alias(f"share_{k}")) for k in "ab")
+    both = x.join(y.hint("merge"), "key").where("a < b AND class_a <> class_b").groupBy("a", "b").agg(F.sum(F.least("share_a", "share_b")).alias("both"))
+    for k in "ab":
+        both = both.join(who.select(F.col("uid").alias(k), *(F.col(x).alias(f"{x}_{k}") for x in ["node", "comp", "weight", "rest"])).hint("merge"), k)
+    needed = (F.col("weight_a") + F.col("weight_b")) * (threshold / (1 + threshold) * (1 - 1e-6))
+    both = both.where((F.col("both") + F.greatest("rest_a", "rest_b") >= needed) & (F.least("weight_a", "weight_b") >= F.greatest("weight_a", "weight_b") * (threshold * (1 - 1e-6))))
+    swap = F.col("node_a") > F.col("node_b")
+    a, b = (F.struct(F.col(f"node_{k}").alias("node"), F.col(f"comp_{k}").alias("comp")) for k in "ab")
+    both = both.select(F.when(swap, b).otherwise(a).alias("x"), F.when(swap, a).otherwise(b).alias("y"))
+    return both.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.comp").alias("comp_a"), F.col("y.comp").alias("comp_b"))
+
+
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, threshold: float = 0.8) -> DataFrame:
     """(doc_id, node, class_id, kept) for each row of docs (doc_id, text, ...).
 
@@ -510,13 +572,16 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, threshold: float =
     """
     docs = docs.select("doc_id", "text")
     weigher = Weigher(docs, shingle_words)
-    docs, read = weigher.ready(docs), weigher.reader()
+    docs, read, levels = weigher.ready(docs), weigher.reader(), weigher.levels
 
     def sketch(b: pa.RecordBatch) -> pa.RecordBatch:
-        bands, bytes_ = [], []
+        bands, bytes_, firsts = [], [], []
         weights = read(b)
         for _, part in c.chunks(_texts(b)):
-            x, some = sketches(part, weights, shingle_words)
+            doc, shingle, tf = document_shingles(part, shingle_words)
+            weight = weights.of(shingle, tf)
+            firsts.append(prefixes(len(part), doc, shingle, weight, levels.value, threshold))
+            x, some = samples(len(part), doc, shingle, weight)
             h = x.reshape(len(part), BANDS, ROWS)
             key = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), h.shape[:2]).copy()
             for k in range(ROWS):
@@ -524,24 +589,31 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, threshold: float =
             key, x = key.view(np.int64), x.astype(np.uint8)
             bands += [key[i] if some[i] else None for i in range(len(part))]
             bytes_ += [x[i].tobytes() if some[i] else None for i in range(len(part))]
-        return pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("node"), pa.array(bands, pa.list_(pa.int64())), pa.array(bytes_, pa.binary())], ["doc_id", "node", "bands", "sketch"])
-
-    base = c.map_rows(docs.withColumn("node", c.text_key()), sketch, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, node binary, bands array<long>, sketch binary")
+        key, share, n, weight, rest = (np.concatenate(x) for x in zip(*firsts, strict=True))
+        cuts = pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32())
+        keys, shares = (pa.ListArray.from_arrays(cuts, pa.array(x)) for x in (key, share.astype(np.float32)))
+        columns = [b.column("doc_id"), b.column("node"), pa.array(bands, pa.list_(pa.int64())), pa.array(bytes_, pa.binary()), keys, shares, pa.array(weight, pa.float64()), pa.array(rest, pa.float64())]
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "bands", "sketch", "keys", "shares", "weight", "rest"])
+
+    types = "node binary, bands array<long>, sketch binary, keys array<long>, shares array<float>, weight double, rest double"
+    base = c.map_rows(docs.withColumn("node", c.text_key()), sketch, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {types}")
     base = c.scratch(base.withColumn("uid", F.monotonically_increasing_id()), "sketches")
-    nodes = c.scratch(base.where("bands IS NOT NULL").select("node", "bands", "sketch").dropDuplicates(["node"]), "nodes")
+    nodes = c.scratch(base.where("bands IS NOT NULL").select("node", "bands", "sketch", "uid", "weight", "rest").dropDuplicates(["node"]), "nodes")
     rows = nodes.select("node", F.explode("bands").alias("band"))
     stats = rows.groupBy("band").agg(F.count("*").alias("n"), F.min("node").alias("lead")).where("n > 1").drop("n")
     shared_rows = c.scratch(rows.join(stats.hint("merge"), "band"), "buckets")
     labels = shared_rows.select("node", F.col("node").alias("comp")).distinct()
 
-    need = labels.select("node")
-    # one row of each text, named by its doc_id as well, so that the copies of a text are not one task
-    one = base.groupBy("node").agg(F.min("doc_id").alias("_id")).join(need.hint("merge"), "node")
-    one = c.scratch(one.withColumnRenamed("node", "_node"), "chosen")
-    own = docs.withColumn("node", c.text_key())
-    found = own.join(one.hint("shuffle_hash"), (F.col("node") == F.col("_node")) & F.col("doc_id").eqNullSafe(F.col("_id")))
-    texts = c.scratch(found.select("node", "text", *weigher.columns).dropDuplicates(["node"]), "texts")
+    def texts_of(need: DataFrame, *hint: str) -> DataFrame:
+        # one row of each text, named by its doc_id as well, so that the copies of a text are not one task
+        one = base.groupBy("node").agg(F.min("doc_id").alias("_id")).join(need.hint("merge"), "node")
+        one = c.scratch(one.withColumnRenamed("node", "_node"), "chosen")
+        one = one.hint(*hint) if hint else one
+        own = docs.withColumn("node", c.text_key())
+        found = own.join(one, (F.col("node") == F.col("_node")) & F.col("doc_id").eqNullSafe(F.col("_id")))
+        return c.scratch(found.select("node", "text", *weigher.columns).dropDuplicates(["node"]), "texts")
 
+    texts = texts_of(labels.select("node"), "shuffle_hash")
     tried = c.scratch(shared_rows.where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct(), "stars")
     pairs = tried.withColumns({"comp_a": F.col("a"), "comp_b": F.col("b")})
     for turn in range(ROUNDS + 1):
@@ -564,9 +636,21 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, threshold: float =
     if n:
         labels = _relabelled(labels, links)
 
-    known = nodes.select("node").join(labels.hint("merge"), "node", "left").select("node", F.coalesce("comp", "node").alias("comp"))
-    known = c.scratch(known, "components")  # so that Spark may split a text that very many rows have
-    out = base.drop("bands", "sketch").join(known.hint("merge"), "node", "left")
+    who = nodes.select("node", "uid", "weight", "rest").join(labels.hint("merge"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    who = c.scratch(who, "components")  # so that Spark may split a text that very many rows have
+    known = who.select("node", "comp")
+    keys = common_keys(base, who)
+    pairs, n = c.counted(possible_pairs(keys.where(F.col("n") <= GROUP), who, threshold), "pairs")
+    groups = keys.where(F.col("n") > GROUP).join(who.select("uid", "node").hint("merge"), "uid")
+    groups, m = c.counted(groups.select(F.col("key").alias("band"), "node", F.lit(None).cast("binary").alias("lead")), "groups")
+    if n or m:
+        texts = texts_of(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(groups.select("node")).distinct())
+        links, n = c.counted(_verified(pairs, texts, weigher, threshold).select("comp_a", "comp_b"), "links")
+        known = _relabelled(known, links) if n else known
+    if m:
+        links, n = c.counted(rest_links(groups, known, pairs.select("a", "b"), texts, weigher, threshold), "links")
+        known = _relabelled(known, links) if n else known
+    out = base.select("doc_id", "node", "uid").join(known.hint("merge"), "node", "left")
     first = out.where("comp IS NOT NULL").groupBy("comp").agg(F.min(F.struct("doc_id", "uid")).alias("least"))
     # written first, so that the join reads two plain shuffles and Spark may split a large class
     out = out.join(c.scratch(first, "firsts").hint("merge"), "comp", "left")

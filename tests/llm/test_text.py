@@ -213,6 +213,40 @@ def test_all_pairs_of_a_bucket_are_compared(spark, monkeypatch, rounds, block, b
     assert {r.doc_id: r.class_id for r in near_dedup.near_duplicates(documents(spark, texts)).collect()} == want
 
 
+@pytest.mark.parametrize("group", [near_dedup.GROUP, 2])
+def test_pairs_that_share_no_bucket_are_found(spark, monkeypatch, group):
+    """With bands so long that samples bring no two texts together, the classes are still those of all pairs."""
+    rng = random.Random(33)
+    base = [sentence(rng, n) for n in (5, 9, 60, 150, 400)]
+    texts = [*ODD, *base, *(edited(rng, b, k) for b in base for k in (1, 1, 2, 3, 5, 8)), *(x for _ in range(4) for x in repeating(rng, 30, 5, 40))]
+    texts += [f"{base[2]} {sentence(rng, k)}" for k in (2, 7, 12, 18, 40)] + close_texts()
+    for name, value in (("BANDS", 2), ("ROWS", 72), ("ROUNDS", 0), ("GROUP", group)):
+        monkeypatch.setattr(near_dedup, name, value)
+    assert {r.doc_id: r.class_id for r in near_dedup.near_duplicates(documents(spark, texts)).collect()} == dict(enumerate(plain_classes(texts)))
+
+
+def test_similar_texts_have_a_key_in_common():
+    rng = random.Random(34)
+    base = sentence(rng, 100)
+    part = [x.encode() for x in [*(edited(rng, base, k % 5) for k in range(40)), *repeating(rng, 10, 20, 30), *repeating(rng, 60, 1, 9), "a b", "", "a b c d e f"]]
+    doc, shingle, tf = near_dedup.document_shingles(part, 5)
+    keys = np.unique(shingle)[::2]
+    w = near_dedup.Weights(keys, np.linspace(0, 0.9, len(keys)), 1.0)
+    key, share, n, weight, rest = near_dedup.prefixes(len(part), doc, shingle, w.of(shingle, tf), np.arange(256, dtype=np.uint8), 0.8)
+    cuts = np.concatenate([[0], np.cumsum(n)])
+    own = [dict(zip(key[i:j].tolist(), share[i:j].tolist(), strict=True)) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
+    similar = 0
+    for a in range(len(part)):
+        assert abs(sum(own[a].values()) + rest[a] - weight[a]) < 1e-6 and (rest[a] < 0.8 * weight[a] or not part[a])
+        for b in range(a):
+            both = sum(min(own[a][k], own[b][k]) for k in own[a].keys() & own[b].keys())
+            j = near_dedup.weighted_jaccard(part[a], part[b], w, 5)
+            assert both + max(rest[a], rest[b]) >= j / (1 + j) * (weight[a] + weight[b]) - 1e-6
+            similar += j >= 0.8
+            assert j < 0.8 or both
+    assert similar > 50
+
+
 def test_neighbours_over_tasks(spark):
     rng = random.Random(16)
     rows = [(rng.randrange(3), bytes([rng.randrange(4)]), f"n{i:03d}".encode(), bytes([65 + rng.randrange(2)])) for i in range(150)]
