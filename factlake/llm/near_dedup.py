@@ -28,6 +28,9 @@ similar texts have a key in common. Where texts of two classes have one, the wei
 is left bounds what they may share, and pairs that may reach the threshold are verified. A key of more than GROUP texts
 is compared like a bucket. So no two similar texts end in two classes.
 
+Only texts that are compared are shuffled: a Bloom filter drops the other rows where they are read, and an exact join drops
+those that it lets through, so FILTER_BYTES bounds the filter and never what is found.
+
 Every link was verified on the whole texts. Copies are collapsed first and never expanded. Null, empty and wordless texts
 are alone in their class. Very long texts are read whole, a batch of them at a time. Equal rows are one class like any
 copies.
@@ -61,6 +64,8 @@ COUNTERS, PARTS = 20, 16
 FLOOR, RARE = 0.75, 1 / 256
 #: Most bytes of a broadcast table of frequent shingles.
 TABLE_BYTES = 64 << 20
+#: Bits for each row of a filter, and most bytes of it; a filter of more rows than these serve lets more other rows through.
+FILTER_BITS, FILTER_BYTES = 16, 16 << 20
 
 _SHIFT = np.uint64(16)
 _ROW = np.dtype([("shingle", "<u8"), ("idf", "<f8")])
@@ -307,6 +312,37 @@ def _verified(pairs: DataFrame, texts: DataFrame, weigher: Weigher, threshold: f
     return c.map_rows(both.select(*names, *extra), verify, pairs.schema)
 
 
+def _hashes(*columns: str) -> list["F.Column"]:
+    return [F.xxhash64(*columns), F.xxhash64(F.lit(1), *columns)]
+
+
+def _slots(hashes: list["F.Column"], mask: int) -> list["F.Column"]:
+    """The bits of a row in a filter of mask + 1 bits."""
+    return [F.shiftrightunsigned(h, by).bitwiseAND(F.lit(mask)) for h in hashes for by in (0, 32)]
+
+
+def among(rows: DataFrame, columns: list[str], chosen: DataFrame, of: list[str], n: int) -> DataFrame:
+    """rows without most of those whose columns are those (of) of no row of chosen, which has n rows: a Bloom filter."""
+    bits = min(8 * FILTER_BYTES, 1 << max(16, (FILTER_BITS * n - 1).bit_length()))
+    slot = chosen.select(F.explode(F.array(*_slots(_hashes(*of), bits - 1))).alias("slot"))
+    slot = slot.select(F.shiftright("slot", 6).alias("word"), F.expr("shiftleft(1L, CAST(slot & 63 AS INT))").alias("bit"))
+    words = slot.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    held = np.zeros(bits >> 6, np.int64)
+    held[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    shared = rows.sparkSession.sparkContext.broadcast(held.view(np.uint64))
+
+    @F.arrow_udf("boolean")
+    def may_be(*slots: pa.Array) -> pa.Array:
+        words, found = shared.value, True
+        for x in slots:
+            x = x.to_numpy().view(np.uint64)
+            found = (words[(x >> np.uint64(6)).view(np.int64)] >> (x & np.uint64(63)) & np.uint64(1)).astype(bool) & found
+        return pa.array(found)
+
+    # else it is asked of both sides of a join, and before the columns are made, which would be made twice
+    return rows.where(may_be.asNondeterministic()(*_slots(_hashes(*columns), bits - 1)))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, comp) of each node of edges (a, b): comp is the least node it is connected with.
 
@@ -607,9 +643,9 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, threshold: float =
     def texts_of(need: DataFrame, *hint: str) -> DataFrame:
         # one row of each text, named by its doc_id as well, so that the copies of a text are not one task
         one = base.groupBy("node").agg(F.min("doc_id").alias("_id")).join(need.hint("merge"), "node")
-        one = c.scratch(one.withColumnRenamed("node", "_node"), "chosen")
+        one, n = c.counted(one.withColumnRenamed("node", "_node"), "chosen")
+        own = among(docs.withColumn("node", c.text_key()), ["node", "doc_id"], one, ["_node", "_id"], n)
         one = one.hint(*hint) if hint else one
-        own = docs.withColumn("node", c.text_key())
         found = own.join(one, (F.col("node") == F.col("_node")) & F.col("doc_id").eqNullSafe(F.col("_id")))
         return c.scratch(found.select("node", "text", *weigher.columns).dropDuplicates(["node"]), "texts")
 

@@ -256,6 +256,41 @@ def test_neighbours_over_tasks(spark):
     assert {(bytes(r.a), bytes(r.b)) for r in near_dedup.neighbours(df).collect()} == want and want
 
 
+def shuffled_bytes(spark, make):
+    """What make() writes to shuffles."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+
+    def total():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+        return {(x.stageId(), x.attemptId()): x.shuffleWriteBytes() for x in (stages.apply(i) for i in range(stages.size()))}
+
+    before = total()
+    out = make()
+    return sum(n for k, n in total().items() if k not in before), out
+
+
+def test_texts_that_are_not_compared_are_not_shuffled(spark):
+    rng = random.Random(67)
+    texts = [" ".join(f"{rng.getrandbits(10000):x}" for _ in range(12)) for _ in range(300)]
+    texts += texts[:2] * 40 + [f"{x} end" for x in texts[2:4]]
+    moved, rows = shuffled_bytes(spark, lambda: near_dedup.near_duplicates(documents(spark, texts)).collect())
+    want = {**{i: i for i in range(300)}, **{300 + i: i % 2 for i in range(80)}, 380: 2, 381: 3}
+    assert {r.doc_id: r.class_id for r in rows} == want
+    assert moved < 0.3 * sum(map(len, texts))
+
+
+@pytest.mark.parametrize("limit", [1 << 13, 16 << 20])
+def test_the_filter_lets_all_chosen_rows_through(spark, monkeypatch, limit):
+    monkeypatch.setattr(near_dedup, "FILTER_BYTES", limit)
+    rows = spark.createDataFrame([(i if i % 5 else None, f"t{i}", "x") for i in range(20000)], "doc_id long, name string, text string")
+    chosen = rows.where("pmod(hash(name), 4) = 0").selectExpr("doc_id AS i", "name AS k")
+    n = chosen.count()
+    got = near_dedup.among(rows, ["name", "doc_id"], chosen, ["k", "i"], n)
+    assert n == got.where("pmod(hash(name), 4) = 0").count() <= got.count() <= (n + 200 if limit > 1 << 16 else 14000)
+    assert near_dedup.among(rows, ["name"], chosen.limit(0), ["k"], 0).count() == 0
+
+
 def test_columns_of_other_names_stay(spark):
     df = spark.createDataFrame([(1, "a b c d e f", "x", 5, "y"), (2, "a b c d e f", "x", 6, "z")], "doc_id long, text string, _own string, _id long, node string")
     assert [tuple(r) for r in near_dedup.deduplicated(df).collect()] == [(1, "a b c d e f", "x", 5, "y")]
